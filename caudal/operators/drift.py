@@ -78,23 +78,31 @@ def content_tokens(text: Column) -> Column:
     return F.array(F.concat(F.lit("s:"), shape), F.concat(F.lit("l:"), lead))
 
 
-def file_fields(raw: DataFrame) -> DataFrame:
-    """(stream_id, file_id, field, usual_writing): a field that only held nulls has no usual writing."""
-    per = line_fields(raw, FILE)
-    w = per.select(*FILE, "field", F.when(F.col("text").isNotNull(), writing(F.col("text"), F.col("is_number"))).alias("w"))
-    counts = w.groupBy(*FILE, "field", "w").agg(F.count("w").alias("n"))
-    return counts.groupBy(*FILE, "field").agg(
-        F.max_by("w", F.when(F.col("w").isNotNull(), F.struct(F.col("n"), F.col("w")))).alias("usual_writing")
+def cell_counts(raw: DataFrame) -> DataFrame:
+    """(stream_id, file_id, field, token, n): how often each writing (``w:``), shape (``s:``) and lead (``l:``) occurs.
+
+    The one pass over the payloads; everything about a file's schema follows from these counts, a few rows a field. A field
+    that only holds nulls has the one token ``w:`` with the count 0.
+    """
+    cells = line_fields(raw, FILE)
+    text = F.col("text")
+    tokens = F.when(text.isNull(), F.array(F.lit("w:"))).otherwise(
+        F.concat(F.array(F.concat(F.lit("w:"), writing(text, F.col("is_number")))), content_tokens(text))
     )
+    return cells.select(*FILE, "field", "text", F.explode(tokens).alias("token")).groupBy(*FILE, "field", "token").agg(F.count("text").alias("n"))
+
+
+def file_fields(counts: DataFrame) -> DataFrame:
+    """(stream_id, file_id, field, usual_writing): a field that only held nulls has no usual writing."""
+    usual = F.max_by(F.substring("token", 3, 100), F.when(F.col("n") > 0, F.struct("n", "token")))
+    return counts.where(F.col("token").startswith("w:")).groupBy(*FILE, "field").agg(usual.alias("usual_writing"))
 
 
-def file_contents(raw: DataFrame) -> DataFrame:
-    """(stream_id, file_id, field, token, share) of the non-null values."""
-    per = line_fields(raw, FILE).where(F.col("text").isNotNull())
-    tokens = per.select(*FILE, "field", F.explode(content_tokens(F.col("text"))).alias("token"))
-    n = tokens.groupBy(*FILE, "field", "token").agg(F.count(F.lit(1)).alias("n"))
-    total = n.groupBy(*FILE, "field").agg(F.sum("n").alias("_all"))
-    return n.join(total, [*FILE, "field"]).select(*FILE, "field", "token", (F.col("n") / F.col("_all")).alias("share"))
+def file_contents(counts: DataFrame) -> DataFrame:
+    """(stream_id, file_id, field, token, share) of the non-null values; the shares of a field add up to 1."""
+    tokens = counts.where(~F.col("token").startswith("w:"))
+    total = tokens.groupBy(*FILE, "field").agg(F.sum("n").alias("_all"))
+    return tokens.join(total, [*FILE, "field"]).select(*FILE, "field", "token", (F.col("n") / F.col("_all")).alias("share"))
 
 
 def _next(df: DataFrame) -> DataFrame:
@@ -106,7 +114,8 @@ def schema_changes(raw: DataFrame) -> DataFrame:
 
     A file without the file before it in its stream has no changes. Repeated lines and the order of fields don't matter.
     """
-    now = cut(file_fields(raw))
+    counts = cut(cell_counts(raw))
+    now = cut(file_fields(counts))
     files = now.select(*FILE).distinct()
     paired = files.join(_next(files), FILE, "left_semi")
     before = _next(now).join(paired, FILE, "left_semi")
@@ -121,7 +130,7 @@ def schema_changes(raw: DataFrame) -> DataFrame:
     )
     gone = both.where(F.col("had") & ~F.col("has")).select(*FILE, F.col("field").alias("gone"), "prior_writing")
     come = both.where(~F.col("had") & F.col("has")).select(*FILE, F.col("field").alias("come"), "new_writing")
-    pairs = cut(_renames(raw, gone, come))
+    pairs = _renames(counts, gone, come)
     renamed = pairs.join(gone, [*FILE, "gone"]).join(come, [*FILE, "come"]).select(
         *FILE, F.lit("renamed").alias("change_kind"), F.col("come").alias("field_name"), F.col("gone").alias("prior_name"), "prior_writing", "new_writing"
     )
@@ -135,24 +144,18 @@ def schema_changes(raw: DataFrame) -> DataFrame:
     return renamed.unionByName(added).unionByName(removed).unionByName(retyped)
 
 
-def _renames(raw: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
+def _renames(counts: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
     """Pairs of a gone and a come field of one file, best likeness first, each field in one pair at most.
 
     Pairs are formed within a file only, among the fields that changed there. A pair is taken when it is the best of both its
     fields; the rest is looked at again without them, until no pair is left, so the result is that of a greedy choice.
     """
-    need = F.col("file_id").isNotNull()
-    old = _next(file_contents(raw.join(gone.select("stream_id", (F.col("file_id") - 1).alias("file_id")).distinct(), FILE, "left_semi")))
-    new = file_contents(raw.join(come.select(*FILE).distinct(), FILE, "left_semi"))
-    a = old.join(gone, (old.stream_id == gone.stream_id) & (old.file_id == gone.file_id) & (old.field == gone.gone)).select(
-        old.stream_id, old.file_id, "gone", "token", F.col("share").alias("share_a")
-    )
-    b = new.join(come, (new.stream_id == come.stream_id) & (new.file_id == come.file_id) & (new.field == come.come)).select(
-        new.stream_id, new.file_id, "come", "token", F.col("share").alias("share_b")
-    )
+    contents = file_contents(counts)
+    a = _next(contents).withColumnRenamed("field", "gone").withColumnRenamed("share", "share_a").join(gone, [*FILE, "gone"], "left_semi")
+    b = contents.withColumnRenamed("field", "come").withColumnRenamed("share", "share_b").join(come, [*FILE, "come"], "left_semi")
     # each value has one shape and one lead token, so the shares of a field add up to 1
     likeness = a.join(b, [*FILE, "token"]).groupBy(*FILE, "gone", "come").agg(F.sum(F.least("share_a", "share_b")).alias("likeness"))
-    alike = likeness.where(need & (F.col("likeness") >= RENAME_LIKENESS))
+    alike = likeness.where(F.col("likeness") >= RENAME_LIKENESS)
     score = F.struct(
         F.col("likeness"),
         (-F.levenshtein(F.lower("gone"), F.lower("come"))).alias("name"),
@@ -176,27 +179,28 @@ def _renames(raw: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
     return out
 
 
-def schema_versions(raw: DataFrame) -> DataFrame:
-    """(stream_id, file_id, fingerprint, schema_version, n_fields): the version rises by 1 when the fingerprint changes."""
+def schema_versions(counts: DataFrame) -> DataFrame:
+    """From ``cell_counts``: (stream_id, file_id, fingerprint, schema_version, n_fields): the version rises by 1 when the fingerprint changes."""
     layout = F.array_sort(F.collect_list(F.concat_ws("=", "field", F.coalesce("usual_writing", F.lit("null")))))
-    prints = file_fields(raw).groupBy(*FILE).agg(F.sha1(F.concat_ws("\n", layout)).alias("fingerprint"), F.count(F.lit(1)).alias("n_fields"))
+    prints = file_fields(counts).groupBy(*FILE).agg(F.sha1(F.concat_ws("\n", layout)).alias("fingerprint"), F.count(F.lit(1)).alias("n_fields"))
     w = Window.partitionBy("stream_id").orderBy("file_id")
     changed = F.when(F.lag("fingerprint").over(w).eqNullSafe(F.col("fingerprint")), 0).otherwise(1)
     return prints.withColumn("_c", changed).withColumn("schema_version", F.sum("_c").over(w)).drop("_c")
 
 
-def common_names(raw: DataFrame, changes: DataFrame) -> dict[str, str]:
+def common_names(counts: DataFrame, changes: DataFrame) -> dict[str, str]:
     """Every field name with the common name it migrates to, by chaining the renames of all streams.
 
     Renames are applied from the most frequent on; one that would give two fields of the same file one name is left out.
     Only names reach the driver; more than MAX_FIELDS of them raise.
     """
-    uses = file_fields(raw).groupBy("field").agg(F.count(F.lit(1)).alias("n")).orderBy("field").limit(MAX_FIELDS + 1).collect()
+    fields = file_fields(counts)
+    uses = fields.groupBy("field").agg(F.count(F.lit(1)).alias("n")).orderBy("field").limit(MAX_FIELDS + 1).collect()
     if len(uses) > MAX_FIELDS:
         raise ValueError(f"more than {MAX_FIELDS} field names")
     n = {r.field: r.n for r in uses}
     layouts = (
-        file_fields(raw).groupBy(*FILE).agg(F.array_sort(F.collect_set("field")).alias("fields")).select("fields").distinct()
+        fields.groupBy(*FILE).agg(F.array_sort(F.collect_set("field")).alias("fields")).select("fields").distinct()
         .select(F.explode("fields").alias("a"), "fields").select("a", F.explode("fields").alias("b")).where("a < b").distinct().limit(MAX_FIELDS * MAX_FIELDS)
     )
     together: dict[str, set[str]] = defaultdict(set)
@@ -222,9 +226,10 @@ def unified(raw: DataFrame, changes: DataFrame, keys: list[str]) -> tuple[DataFr
     one width gets its lost leading zeros back. A value that doesn't fit its column's kind is null there and stays in
     ``unread``. Repeated lines stay repeated.
     """
-    names = common_names(raw, changes)
+    counts = cut(cell_counts(raw))
+    names = common_names(counts, changes)
+    versions = schema_versions(counts)
     if not names:
-        versions = schema_versions(raw)
         return raw.join(versions.select(*FILE, "schema_version"), FILE, "left").select(*keys, "schema_version"), {}
     to = F.create_map(*[F.lit(x) for kv in sorted(names.items()) for x in kv])
     cells = line_fields(raw, keys).where(F.col("text").isNotNull()).withColumn("name", to[F.col("field")])
@@ -258,6 +263,6 @@ def unified(raw: DataFrame, changes: DataFrame, keys: list[str]) -> tuple[DataFr
         F.map_from_entries(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("name", "value")))).alias("_m"),
         F.array_sort(F.collect_list(F.when(F.col("value").isNull(), F.concat_ws("=", "field", "text")))).alias("unread"),
     )
-    out = raw.select(*keys).join(lines, keys, "left").join(schema_versions(raw).select(*FILE, "schema_version"), FILE, "left")
+    out = raw.select(*keys).join(lines, keys, "left").join(versions.select(*FILE, "schema_version"), FILE, "left")
     columns = [F.col("_m")[k].try_cast(t).alias(k) for k, (t, _) in sorted(typed.items())]
     return out.select(*keys, "schema_version", *columns, F.coalesce("unread", F.array().cast("array<string>")).alias("unread")), names

@@ -92,7 +92,7 @@ def p4_unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_versions(spark: SparkSession, d: str) -> DataFrame:
-    return drift.schema_versions(table(spark, d, "raw_records"))
+    return drift.schema_versions(drift.cell_counts(table(spark, d, "raw_records")))
 
 
 # --- p5: a few keys holding most records ---------------------------------------------------------------------------------
