@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields
 from ..session import cut, table
-from . import mixture, nearest
+from . import leakage, mixture, nearest
 
 P1_TOLERANCE = 48 * 3600 * 1_000_000
 
@@ -25,6 +25,20 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_nearest(spark, d).select("exit_id", "stay_id")
 
 
+# --- p7: held-out passages on pages -----------------------------------------------------------------------------------------
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """The items that leaked, with the pages that hold them."""
+    return p7_leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_pages"), F.max("n_words").alias("most_words"))
+
+
 # --- p8: mixing sources --------------------------------------------------------------------------------------------------
 def _p8(spark: SparkSession, d: str, total: str | None = None) -> tuple[DataFrame, DataFrame]:
     docs = cut(mixture.count_tokens(table(spark, d, "documents"), ["doc_id", "source"]))
@@ -47,5 +61,5 @@ def p8_shares_corpus_size(spark: SparkSession, d: str) -> DataFrame:
     return _p8(spark, d, "corpus")[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p8_mix, p8_shares, p8_shares_corpus_size)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p7_found, p7_leaks, p7_items, p8_mix, p8_shares, p8_shares_corpus_size)}
 from .sql import SQL  # noqa: E402, F401
