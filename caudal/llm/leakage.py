@@ -4,7 +4,8 @@
    letters are one (pages.fold). All pages are scanned for all seeds at once.
 2. Rarity: a seed is as rare as it seldom stands alone, that is on a page without another, separate seed of the same item.
    Unlike a plain document frequency this stays low for a passage printed on a third of all pages.
-3. Seed join: page and item are a candidate if the bits of their separate seeds add up to ``LEAST_BITS``.
+3. Seed join: page and item are a candidate if the bits of their separate seeds add up to ``LEAST_UNIQUE``
+   times those of a seed found nowhere else.
 4. Smith-Waterman alignment of the item with the page around the seeds. Reading on after an insertion of any length (an advert,
    lines of another column) has one flat price. The item is held by the page if ``least_words`` consecutive words align.
 
@@ -26,7 +27,8 @@ from ..session import cut
 from . import pages
 
 SEED = 12
-LEAST_BITS = 18.0
+#: A candidate's separate seeds must weigh as much as this many that occur nowhere else in the corpus.
+LEAST_UNIQUE = 3.0
 LEAST_WORDS = 15
 BLOCK = 10_000
 MATCH, MISMATCH, SKIP, JUMP = 2, -6, -6, -40
@@ -77,9 +79,10 @@ def align(item: str, page: str) -> np.ndarray:
     a = np.frombuffer(item.encode("utf-32-le"), dtype=np.int32)
     b = np.frombuffer(page.encode("utf-32-le"), dtype=np.int32)
     n, m = len(a), len(b)
-    h = np.zeros((n + 1, m + 1), dtype=np.int32)
-    ramp = np.arange(m + 1, dtype=np.int32) * -SKIP
-    equal = {c: np.where(b == c, MATCH, MISMATCH).astype(np.int32) for c in np.unique(a)}
+    kind = np.int16 if max(n * MATCH, m * -SKIP) < 30_000 else np.int32
+    h = np.zeros((n + 1, m + 1), dtype=kind)
+    ramp = np.arange(m + 1, dtype=kind) * kind(-SKIP)
+    equal = {c: np.where(b == c, kind(MATCH), kind(MISMATCH)) for c in np.unique(a)}
     for i in range(1, n + 1):
         row, up = h[i], h[i - 1]
         np.maximum(up + SKIP, 0, out=row)
@@ -129,22 +132,35 @@ def longest_run(matched: np.ndarray, bounds: list[tuple[int, int]]) -> int:
     return best
 
 
-def _stretches(hits: list[tuple[int, int]], item: int, page: int) -> list[tuple[int, int]]:
-    """Parts of the page around the seed hits (page position, item offset), at most STRETCH long each."""
+#: Characters of item and page taken in beyond the outermost seeds of a stretch.
+MARGIN = 160
+
+
+def _stretches(hits: list[tuple[int, int]], item: int, page: int) -> list[tuple[int, int, int, int]]:
+    """Parts of page and item around the seed hits (page position, item offset): page from, to, item from, to."""
     out: list[list[int]] = []
     for p, o in sorted(hits):
-        lo, hi = max(0, p - o - 60), min(page, p + (item - o) + 60)
-        if out and lo <= out[-1][1] + item:
-            out[-1][1] = max(out[-1][1], hi)
+        if out and p - out[-1][1] <= item + MARGIN and p - out[-1][0] <= max(STRETCH, 4 * item):
+            out[-1] = [out[-1][0], p, min(out[-1][2], o), max(out[-1][3], o)]
         else:
-            out.append([lo, hi])
-    parts, most = [], max(STRETCH, 4 * item)
-    for lo, hi in out:
-        while hi - lo > most:
-            parts.append((lo, lo + most))
-            lo += most - 2 * item
-        parts.append((lo, hi))
-    return parts
+            if out and p - out[-1][1] <= item + MARGIN:  # a long stretch was cut here: the parts overlap
+                out.append([max(out[-1][0], p - 2 * item), p, 0, item])
+            else:
+                out.append([p, p, o, o])
+    return [(max(0, a - MARGIN), min(page, b + MARGIN), max(0, c - MARGIN), min(item, d + MARGIN)) for a, b, c, d in out]
+
+
+def _run_in(items: Items, k: int, page: str, stretch: tuple[int, int, int, int]) -> int:
+    """Aligns the stretch; if the alignment reaches its border, once more with all of the item and a wide part of the page."""
+    lo, hi, a, b = stretch
+    item, bounds = items.streams[k], items.bounds[k]
+    matched = np.full(len(item), -1)
+    matched[a:b] = align(item[a:b], page[lo:hi])
+    at = np.flatnonzero(matched >= 0)
+    if len(at) and ((at[0] < a + 20 and a > 0) or (at[-1] > b - 20 and b < len(item))):
+        wide = 2 * len(item)
+        matched = align(item, page[max(0, lo - wide) : hi + wide])
+    return longest_run(matched, bounds)
 
 
 def _scan(docs: DataFrame, shared, text: str) -> DataFrame:
@@ -203,9 +219,7 @@ def _verify(docs: DataFrame, shared, text: str, least_words: int) -> DataFrame:
                         while at >= 0:
                             hits += [(at, o) for o in places]
                             at = stream.find(s, at + 1)
-                    best = 0
-                    for lo, hi in _stretches(hits, len(items.streams[k]), len(stream)):
-                        best = max(best, longest_run(align(items.streams[k], stream[lo:hi]), items.bounds[k]))
+                    best = max((_run_in(items, k, stream, s) for s in _stretches(hits, len(items.streams[k]), len(stream))), default=0)
                     if best >= least_words:
                         out.append((doc, item, best))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_words"]).astype("int64")
@@ -236,7 +250,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", edges: str
         bits = F.greatest(F.log2(F.lit(float(max(n_docs, 2))) / (1 + F.coalesce("n_alone", F.lit(0)))), F.lit(0.0))
         # neighbouring windows overlap by about half
         scored = pairs.join(seed_alone, ["item_id", "seed"], "left").groupBy("doc_id", "item_id").agg((F.sum(bits) / 2).alias("bits"))
-        wanted = cut(scored.where(F.col("bits") >= min(LEAST_BITS, 1.5 * float(np.log2(max(n_docs, 2))))).groupBy("doc_id").agg(F.collect_set("item_id").alias("wanted")))
+        wanted = cut(scored.where(F.col("bits") >= LEAST_UNIQUE * float(np.log2(max(n_docs, 2)))).groupBy("doc_id").agg(F.collect_set("item_id").alias("wanted")))
         return cut(_verify(rows.join(wanted, "doc_id"), shared, "text", least_words))
 
     for r in it:

@@ -17,10 +17,11 @@ _PLAIN = {"a": "áàâãäå", "c": "ç", "e": "éèêë", "i": "íìîï", "n":
 _CLASSES = {"a": "ao0", "c": "ce", "i": "il1!|j", "u": "un", "t": "ft", "b": "bh", "g": "gq9", "s": "s5"}
 
 _TO_PLAIN = {ord(x): k for k, xs in _PLAIN.items() for x in xs}
-_TO_CLASS = {ord(x): k for k, xs in _CLASSES.items() for x in xs}
-_TO_CLASS |= {a: _TO_CLASS.get(ord(p), p) for a, p in _TO_PLAIN.items()}
-_KEEP = {*"abcdefghijklmnopqrstuvwxyz0123456789!|"}
-_STREAM = {i: None for i in range(0x250) if chr(i) not in _KEEP} | {i: None for i in range(0x2000, 0x2070)} | _TO_CLASS
+_LOOK = {x: k for k, xs in _CLASSES.items() for x in xs}
+_KEPT = {c: _LOOK.get(c, c) for c in "abcdefghijklmnopqrstuvwxyz0123456789!|"} | {chr(a): _LOOK.get(p, p) for a, p in _TO_PLAIN.items()}
+#: Folding works on Latin-1 bytes, where a table look-up costs next to nothing; other characters become "?" and go.
+_TABLE = bytes(ord(_KEPT.get(chr(i), "?")) for i in range(256))
+_DELETE = bytes(i for i in range(256) if chr(i) not in _KEPT)
 
 
 def read_columns(text: str, left_edges: list[int] | None) -> list[str]:
@@ -70,10 +71,5 @@ def fold(text: str) -> str:
 
     The same function is applied to both sides of a comparison, so that words it can't tell apart only cost sharpness.
     """
-    s = text.lower().translate(_STREAM)
+    s = text.lower().encode("latin-1", "replace").translate(_TABLE, _DELETE).decode("latin-1")
     return s.replace("vv", "w").replace("ii", "b").replace("ru", "m")
-
-
-def fold_word(word: str) -> str:
-    """``fold`` for a lower-case word without spaces."""
-    return word.translate(_STREAM).replace("vv", "w").replace("ii", "b").replace("ru", "m")
