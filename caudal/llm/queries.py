@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields
 from ..session import cut, table
-from . import leakage, mixture, nearest
+from . import leakage, linkage, mixture, nearest
 
 P1_TOLERANCE = 48 * 3600 * 1_000_000
 
@@ -25,6 +25,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_nearest(spark, d).select("exit_id", "stay_id")
 
 
+# --- p6: notices and stays -----------------------------------------------------------------------------------------------
+def p6_links(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.link(table(spark, d, "care_notices"), table(spark, d, "stays"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_links(spark, d).select("stay_id", "notice_id")
+
+
 # --- p7: held-out passages on pages -----------------------------------------------------------------------------------------
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"))
@@ -61,5 +70,5 @@ def p8_shares_corpus_size(spark: SparkSession, d: str) -> DataFrame:
     return _p8(spark, d, "corpus")[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p7_found, p7_leaks, p7_items, p8_mix, p8_shares, p8_shares_corpus_size)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p6_found, p6_links, p7_found, p7_leaks, p7_items, p8_mix, p8_shares, p8_shares_corpus_size)}
 from .sql import SQL  # noqa: E402, F401
