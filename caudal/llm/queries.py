@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields
 from ..session import cut, table
-from . import leakage, linkage, mixture, nearest
+from . import content, leakage, linkage, mixture, nearest
 
 P1_TOLERANCE = 48 * 3600 * 1_000_000
 
@@ -70,5 +70,23 @@ def p8_shares_corpus_size(spark: SparkSession, d: str) -> DataFrame:
     return _p8(spark, d, "corpus")[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p6_found, p6_links, p7_found, p7_leaks, p7_items, p8_mix, p8_shares, p8_shares_corpus_size)}
+# --- p9: abusive, hateful and sexual content -----------------------------------------------------------------------------
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return content.score(docs, content.train(docs, table(spark, d, "content_labels")), ["doc_id", "source"])
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    hits = F.array_compact(F.array(*[F.when(F.col(f"is_{c}"), F.lit(c)) for c in content.CATEGORIES]))
+    return p9_scores(spark, d).select("doc_id", F.explode(hits).alias("category"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of pages of each category per source."""
+    rates = [F.round(F.avg(F.col(f"is_{c}").cast("double")), 6).alias(f"{c}_rate") for c in content.CATEGORIES]
+    means = [F.round(F.avg(c), 6).alias(f"{c}_mean") for c in content.CATEGORIES]
+    return p9_scores(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), *rates, *means)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p6_found, p6_links, p7_found, p7_leaks, p7_items, p8_mix, p8_shares, p8_shares_corpus_size, p9_found, p9_scores, p9_rates)}
 from .sql import SQL  # noqa: E402, F401
