@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 FLAT = 1e-12
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean_ring(ring: Column) -> Column:
     """Well-formed points only; closed if it has two or more."""
     pts = F.filter(ring, lambda p: p.isNotNull() & (F.size(p) >= 2) & F.get(p, F.lit(0)).isNotNull() & F.get(p, F.lit(1)).isNotNull())
     pts = F.transform(pts, lambda p: F.slice(p, 1, 2))
-    open_ = (F.size(pts) >= 2) & (F.get(pts, F.lit(0)) != F.element_at(pts, -1))
-    return F.when(open_, F.concat(pts, F.slice(pts, 1, 1))).otherwise(pts)
+    is_open = lambda p: (F.size(p) >= 2) & (F.get(p, F.lit(0)) != F.element_at(p, -1))
+    return let(pts, lambda p: F.when(is_open(p), F.concat(p, F.slice(p, 1, 1))).otherwise(p))
 
 
 def outer_rings(kind: Column, polygon: Column, multi: Column) -> Column:
@@ -28,6 +33,10 @@ def outer_rings(kind: Column, polygon: Column, multi: Column) -> Column:
 
 def ring_centroid(ring: Column) -> Column:
     """struct(lon, lat, weight) of a closed ring: shoelace centroid weighted by area; a flat ring has its mean corner, weight 0."""
+    return let(ring, _shoelace)
+
+
+def _shoelace(ring: Column) -> Column:
     n = F.size(ring)
     x, y = (lambda i: F.get(F.get(ring, i), F.lit(0))), (lambda i: F.get(F.get(ring, i), F.lit(1)))
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"), F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy"))
@@ -56,8 +65,10 @@ def ring_centroid(ring: Column) -> Column:
 
 def geometry_centroid(kind: Column, polygon: Column, multi: Column) -> Column:
     """struct(lon, lat): the area-weighted mean over the outer rings, of flat rings their plain mean; null without rings."""
-    cs = F.transform(outer_rings(kind, polygon, multi), ring_centroid)
+    return let(F.transform(outer_rings(kind, polygon, multi), ring_centroid), _weighted)
+
 
+def _weighted(cs: Column) -> Column:
     def total(items: Column, pick) -> Column:
         return F.aggregate(items, F.lit(0.0), lambda acc, c: acc + pick(c))
 

@@ -71,36 +71,32 @@ def digits(x: Column) -> Column:
     return F.regexp_replace(text(x), r"\D", "")
 
 
+# The code rules use each input once: a rule that repeats its input grows with every rule built on it, until the generated
+# code is too large to compile.
 def municipality(x: Column) -> Column:
     """Catalog spelling: a decimal ending goes, digits only, the last 7 of longer ones."""
-    t = text(x)
-    d = F.regexp_replace(F.when(t.rlike(r"^\d+\.0+$"), F.regexp_extract(t, r"^(\d+)\.", 1)).otherwise(t), r"\D", "")
-    return F.when(F.length(d) > 7, F.substring(d, -7, 7)).otherwise(d)
+    whole = F.regexp_replace(text(x), r"^(\d+)\.0+$", "$1")
+    return F.regexp_extract(F.regexp_replace(whole, r"\D", ""), r"(\d{0,7})$", 1)
 
 
 def municipality_for_nodes(x: Column) -> Column:
     """Node spelling: digits only, the first 6 of 7, the last 6 of more. A decimal ending is not understood here."""
-    d = digits(x)
-    return F.when(F.length(d) == 7, F.substring(d, 1, 6)).when(F.length(d) > 7, F.substring(d, -6, 6)).otherwise(d)
+    return F.regexp_extract(F.regexp_replace(digits(x), r"^(\d{6})\d$", "$1"), r"(\d{0,6})$", 1)
 
 
 def code6_strict(x: Column) -> Column:
     """Six digits of a code that has 6 or 7, else empty."""
-    m = municipality(x)
-    return F.when(F.length(m) == 7, F.substring(m, 1, 6)).when(F.length(m) == 6, m).otherwise("")
+    return F.regexp_extract(municipality(x), r"^(\d{6})\d?$", 1)
 
 
 def code6_loose(x: Column) -> Column:
     """The first six digits if there are as many, else empty."""
-    m = municipality(x)
-    return F.when(F.length(m) >= 6, F.substring(m, 1, 6)).otherwise("")
+    return F.regexp_extract(municipality(x), r"^(\d{6})", 1)
 
 
 def facility_code(x: Column) -> Column:
     """Digits only, the last 7 of more, filled with zeros to 7; blank stays empty."""
-    d = digits(x)
-    cut = F.when(F.length(d) > 7, F.substring(d, -7, 7)).otherwise(d)
-    return F.when(cut == "", "").otherwise(F.lpad(cut, 7, "0"))
+    return F.regexp_extract(F.concat(F.lit("000000"), digits(x)), r"(\d{7})$", 1)
 
 
 def flag(x: Column) -> Column:

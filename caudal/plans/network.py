@@ -408,16 +408,16 @@ def _reference(spark, d):
     return enrich.municipality_reference(cat, centres.withColumn("lat", F.when(holes, None).otherwise(F.col("lat"))))
 
 
-@query(f"SELECT ibge_id, municipality_code, municipality_name, uf, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, coordinate_source FROM ({_MREF})")
+@query(f"SELECT ibge_id, municipality_code, municipality_name, uf, round(latitude + 1e-9, 6) AS latitude, round(longitude + 1e-9, 6) AS longitude, coordinate_source FROM ({_MREF})")
 def ref_municipality(spark, d):
-    return _reference(spark, d).withColumns({c: F.round(c, 6) for c in ("latitude", "longitude")})
+    return _reference(spark, d).withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("latitude", "longitude")})
 
 
 _FACS = "SELECT substr(node_id, 10) AS cnes, min(municipality_code) AS municipality_code, CASE WHEN substr(node_id, length(node_id), 1) = '1' THEN 'xx' ELSE '' END AS uf FROM nodes WHERE node_type = 'facility' GROUP BY ALL"
 _CACHE = "SELECT location_id AS cnes, 'Casa ' || location_id AS name, CASE WHEN location_id LIKE '%5' THEN NULL ELSE -10.5 END AS latitude, -50.25 AS longitude FROM (SELECT DISTINCT location_id FROM facility_lookup WHERE regexp_full_match(location_id, '[0-9]{6}[0-4]|[0-9]{6}5'))"
 _FACREF = f"""SELECT f.cnes, '2101' AS competence, m.ibge_id, f.municipality_code, municipality_name, CASE WHEN f.uf <> '' THEN upper(f.uf) ELSE upper(coalesce(m.uf, '')) END AS uf,
   coalesce(a.name, 'CNES ' || f.cnes || ' (' || coalesce(municipality_name, '') || ' - ' || CASE WHEN f.uf <> '' THEN upper(f.uf) ELSE upper(coalesce(m.uf, '')) END || ')') AS name,
-  round(CASE WHEN a.latitude IS NOT NULL THEN a.latitude ELSE m.latitude END, 6) AS latitude, round(CASE WHEN a.latitude IS NOT NULL THEN a.longitude ELSE m.longitude END, 6) AS longitude,
+  round(CASE WHEN a.latitude IS NOT NULL THEN a.latitude ELSE m.latitude END + 1e-9, 6) AS latitude, round(CASE WHEN a.latitude IS NOT NULL THEN a.longitude ELSE m.longitude END + 1e-9, 6) AS longitude,
   CASE WHEN a.latitude IS NOT NULL THEN 'cnes_api' ELSE coalesce(coordinate_source, 'missing') END AS coordinate_source, CASE WHEN a.name IS NOT NULL THEN 'cnes_api' ELSE 'synthetic_municipality' END AS name_source
   FROM ({_FACS}) f LEFT JOIN ({_MREF}) m USING (municipality_code) LEFT JOIN ({_CACHE}) a USING (cnes)"""
 
@@ -431,7 +431,7 @@ def ref_facilities(spark, d):
     ids = table(spark, d, "facility_lookup").where(F.col("location_id").rlike(r"^\d{6}[0-5]$")).select(F.col("location_id").alias("cnes")).distinct()
     cache = ids.select("cnes", F.concat(F.lit("Casa "), "cnes").alias("name"), F.when(F.col("cnes").endswith("5"), None).otherwise(F.lit(-10.5)).alias("latitude"), F.lit(-50.25).alias("longitude"))
     out = enrich.facility_reference(facs, _reference(spark, d), cache, manifest.competence("202101"))
-    return out.withColumns({c: F.round(c, 6) for c in ("latitude", "longitude")})
+    return out.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in ("latitude", "longitude")})
 
 
 @query(f"""SELECT count(*) AS n_facilities, count(*) FILTER (name_source = 'cnes_api') AS n_named, count(*) FILTER (coordinate_source = 'cnes_api') AS n_cnes_api, count(*) FILTER (coordinate_source = 'ibge_malha') AS n_ibge_malha,
@@ -471,18 +471,19 @@ p AS (SELECT vec_id, i, CAST(embedding[2 * i + 1] AS DOUBLE) AS x, CAST(embeddin
 s AS (SELECT vec_id, sum(x * y2 - x2 * y) AS a, sum((x + x2) * (x * y2 - x2 * y)) AS cx, sum((y + y2) * (x * y2 - x2 * y)) AS cy FROM p GROUP BY 1)"""
 
 
-@query(f"WITH {_RING.strip()} SELECT vec_id, round(abs(a) / 2, 4) AS area, round(cx / 3, 4) AS moment_x, round(cy / 3, 4) AS moment_y FROM s")
+@query(f"WITH {_RING.strip()} SELECT vec_id, round(abs(a) / 2, 4) AS area, round(cx / 3, 4) + 0.0 AS moment_x, round(cy / 3, 4) + 0.0 AS moment_y FROM s")
 def geo_ring_centroid(spark, d):
     """Area and first moments of open rings made of the pairs of a vector; the centroid is moment by doubled signed area."""
     e = table(spark, d, "embeddings")
     pts = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int") - 1), lambda i: F.array(F.get("embedding", 2 * i).cast("double"), F.get("embedding", 2 * i + 1).cast("double")))
-    ring = geometry.clean_ring(pts)
+    e = e.withColumn("ring", geometry.clean_ring(pts))
+    ring = F.col("ring")
     c = geometry.ring_centroid(ring)
     signed = F.aggregate(F.sequence(F.lit(0), F.size(ring) - 2), F.lit(0.0), lambda a, i: a + F.get(F.get(ring, i), F.lit(0)) * F.get(F.get(ring, i + 1), F.lit(1)) - F.get(F.get(ring, i + 1), F.lit(0)) * F.get(F.get(ring, i), F.lit(1)))
-    return e.select("vec_id", c.alias("c"), signed.alias("a")).select("vec_id", F.round(F.col("c.weight"), 4).alias("area"), F.round(F.col("c.lon") * F.col("a"), 4).alias("moment_x"), F.round(F.col("c.lat") * F.col("a"), 4).alias("moment_y"))
+    return e.select("vec_id", c.alias("c"), signed.alias("a")).select("vec_id", F.round(F.col("c.weight"), 4).alias("area"), (F.round(F.col("c.lon") * F.col("a"), 4) + 0.0).alias("moment_x"), (F.round(F.col("c.lat") * F.col("a"), 4) + 0.0).alias("moment_y"))
 
 
-@query("SELECT node_id, longitude + 0.5 AS lon, latitude + 0.5 AS lat FROM (SELECT node_id, round(min(longitude), 5) AS longitude, round(min(latitude), 5) AS latitude FROM nodes WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY 1)".replace("longitude + 0.5", "round(longitude + 0.7, 4)").replace("latitude + 0.5", "round(latitude + 0.5, 4)"))
+@query("SELECT node_id, longitude + 0.5 AS lon, latitude + 0.5 AS lat FROM (SELECT node_id, round(min(longitude), 5) AS longitude, round(min(latitude), 5) AS latitude FROM nodes WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY 1)".replace("longitude + 0.5", "round(longitude + 0.7 + 1e-9, 4)").replace("latitude + 0.5", "round(latitude + 0.5 + 1e-9, 4)"))
 def geo_polygon_centroid(spark, d):
     """Two-part polygons around each located node: a unit square, and one of four times its area one to the side."""
     n = table(spark, d, "nodes").where("latitude IS NOT NULL AND longitude IS NOT NULL").groupBy("node_id").agg(F.round(F.min("longitude"), 5).alias("x"), F.round(F.min("latitude"), 5).alias("y"))
@@ -490,7 +491,7 @@ def geo_polygon_centroid(spark, d):
     near = F.array(F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1), at(0, 0)))
     far = F.array(F.array(at(-0.25, -0.5), at(1.75, -0.5), at(1.75, 1.5), at(-0.25, 1.5)))
     c = geometry.geometry_centroid(F.lit("MultiPolygon"), F.lit(None).cast("array<array<array<double>>>"), F.array(near, far))
-    return n.select("node_id", F.round(c["lon"], 4).alias("lon"), F.round(c["lat"], 4).alias("lat"))
+    return n.select("node_id", F.round(c["lon"] + 1e-9, 4).alias("lon"), F.round(c["lat"] + 1e-9, 4).alias("lat"))
 
 
 # --- batch filters -------------------------------------------------------------------------------------------------------
@@ -580,12 +581,12 @@ def graph_degree_histogram(spark, d):
 
 
 _ISLANDS = "e AS (SELECT DISTINCT source_node_id AS a, target_node_id AS b FROM g WHERE edge_type = 'transfer' AND source_node_id <> target_node_id), "
-_WCC = g_sql(40) + ", " + _ISLANDS + "u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(a, b) AS (SELECT node_id, node_id FROM v UNION SELECT r.a, u.b FROM reach r JOIN u ON r.b = u.a), w AS (SELECT a AS node_id, min(b) AS component FROM reach GROUP BY 1) "
-_SCC = g_sql(40) + ", " + _ISLANDS + "reach(a, b) AS (SELECT node_id, node_id FROM v UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a), w AS (SELECT x.a AS node_id, max(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1) "
+_WCC = g_sql(12) + ", " + _ISLANDS + "u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(a, b) AS (SELECT node_id, node_id FROM v UNION SELECT r.a, u.b FROM reach r JOIN u ON r.b = u.a), w AS (SELECT a AS node_id, min(b) AS component FROM reach GROUP BY 1) "
+_SCC = g_sql(12) + ", " + _ISLANDS + "reach(a, b) AS (SELECT node_id, node_id FROM v UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a), w AS (SELECT x.a AS node_id, max(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1) "
 
 
 def _islands(spark, d):
-    v, e = _graph(spark, d, 40)
+    v, e = _graph(spark, d, 12)
     return v, e.where("edge_type = 'transfer'")
 
 
