@@ -64,6 +64,7 @@ def content_tokens(text: Column) -> Column:
     Numbers of up to three digits have the shape ``int`` and lead with their size in steps of five; longer ones have their
     number of digits and their first digit; decimals their sign of a fraction; other texts letters and digits in pattern.
     """
+    text = F.regexp_replace(text, r"^(\d{2})/(\d{2})/(\d{4})$", "$3$2$1")  # the writing of a day doesn't matter here
     flat = F.regexp_replace(text, r"[-./,]", "")
     decimal = text.rlike(r"^[-+]?\d+[.,]\d{1,2}$")
     digits = flat.rlike(r"^\d+$")
