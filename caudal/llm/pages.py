@@ -28,10 +28,11 @@ def read_columns(text: str, left_edges: list[int] | None) -> list[str]:
     """The columns of a page, each as its lines joined by a newline.
 
     Lines are told apart by the left edges of their boxes; where a line runs across both columns, by the gap inside it. Without
-    one edge per line, only the gaps count. An empty page has no columns.
+    one known edge per line, only the gaps count. An empty page has no columns.
     """
     lines = text.split("\n")
-    if left_edges is not None and len(left_edges) == len(lines) and max(left_edges) - min(left_edges) > COLUMN_GAP:
+    known = left_edges is not None and len(left_edges) == len(lines) and all(x is not None and x == x for x in left_edges)
+    if known and max(left_edges) - min(left_edges) > COLUMN_GAP:
         bounds, last = [], None
         for x in sorted(set(left_edges)):
             if last is None or x - last > COLUMN_GAP:
