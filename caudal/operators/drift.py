@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 #: A field that goes and one that comes are the same when their contents are at least so alike (0 to 1).
-RENAME_LIKENESS = 0.66
+RENAME_LIKENESS = 0.6
 #: More distinct field names than this are no column layout any more.
 MAX_FIELDS = 5_000
 FILE = ["stream_id", "file_id"]
@@ -59,10 +59,11 @@ def writing(text: Column, is_number: Column) -> Column:
 
 
 def content_tokens(text: Column) -> Column:
-    """What a value is, whatever its writing: an array of its shape and its leading part.
+    """What a value is, whatever its writing: its shape (counted twice), its leading part roughly and finely.
 
-    Numbers of up to three digits have the shape ``int`` and lead with their size in steps of five; longer ones have their
-    number of digits and their first digit; decimals their sign of a fraction; other texts letters and digits in pattern.
+    Numbers of up to three digits have the shape ``int`` and lead with their size, in steps of five and exactly; longer ones
+    have their number of digits and their first digit; decimals that they have a fraction; other texts letters and digits in
+    pattern.
     """
     text = F.regexp_replace(text, r"^(\d{2})/(\d{2})/(\d{4})$", "$3$2$1")  # the writing of a day doesn't matter here
     flat = F.regexp_replace(text, r"[-./,]", "")
@@ -75,12 +76,15 @@ def content_tokens(text: Column) -> Column:
         .when(digits, F.concat(F.lit("d"), F.length(flat).cast("string")))
         .otherwise(F.substring(F.regexp_replace(F.regexp_replace(text, r"[0-9]", "9"), r"[^9\W]", "a"), 1, 12))
     )
-    lead = F.when(small, F.floor(flat.cast("int") / 5).cast("string")).otherwise(F.substring(text, 1, 1))
-    return F.array(F.concat(F.lit("s:"), shape), F.concat(F.lit("l:"), lead))
+    first, value = F.substring(text, 1, 1), flat.try_cast("int")
+    rough = F.when(small, F.floor(value / 5).cast("string")).otherwise(first)
+    fine = F.when(small, value.cast("string")).otherwise(first)
+    kind = F.concat(F.lit("s:"), shape)
+    return F.array(kind, kind, F.concat(F.lit("l:"), rough), F.concat(F.lit("x:"), fine))
 
 
 def cell_counts(raw: DataFrame) -> DataFrame:
-    """(stream_id, file_id, field, token, n): how often each writing (``w:``), shape (``s:``) and lead (``l:``) occurs.
+    """(stream_id, file_id, field, token, n): how often each writing (``w:``), shape (``s:``) and lead (``l:``, ``x:``) occurs.
 
     The one pass over the payloads; everything about a file's schema follows from these counts, a few rows a field. A field
     that only holds nulls has the one token ``w:`` with the count 0.
