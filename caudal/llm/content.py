@@ -174,7 +174,8 @@ def train(docs: DataFrame, marks: DataFrame, text: str = "text", edges: str | No
     """``marks`` has doc_id and a 0/1 column per category; several marks of a page are averaged (half counts as 1), null is 0."""
     many = marks.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[(F.avg(F.coalesce(c, F.lit(0))) >= 0.5).cast("int").alias(c) for c in CATEGORIES])
     some = cut(many.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_MARKED))
-    rows = docs.join(some, "doc_id").select("doc_id", F.col(text).alias("t"), _edges(edges).alias("e"), *CATEGORIES).dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", F.col(text).alias("t"), _edges(edges).alias("e"))
+    rows = texts.join(some, "doc_id").dropDuplicates(["doc_id"])
     rows = cut(rows.withColumn("_o", F.xxhash64("doc_id")))
     fits, total = [], 0
     for r in rows.select("_o", "doc_id", F.coalesce(F.length("t"), F.lit(0)).alias("n")).orderBy("_o", "doc_id").collect():  # at most MAX_MARKED rows

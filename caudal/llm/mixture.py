@@ -114,7 +114,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: i
     spark = docs.sparkSession
     named = targets.where(F.col("source_name").isNotNull()).groupBy("source_name").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap"))
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(BUCKETS)).cast("int")
-    pages = docs.join(named.select(F.col("source_name").alias("source")), "source", "left_semi").withColumn("bucket", bucket)
+    pages = docs.select("doc_id", "source", "n_tokens").join(named.select(F.col("source_name").alias("source")), "source", "left_semi").withColumn("bucket", bucket)
     sums = cut(pages.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")))
     have = sums.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("n_docs").alias("n_docs"))
     rows = named.join(have, F.col("source_name") == F.col("source"), "left").limit(MAX_SOURCES + 1).collect()
