@@ -56,7 +56,7 @@ def records(data: bytes, columns: list[str] | None = None, limit: int | None = N
         out: list[str | None] = []
         for f in wanted:
             v = row[f.at : f.at + f.width].decode(encoding, "replace").strip(" \0") if f else ""
-            out.append((v if f.kind not in "NF" or _NUMERIC.match(v) else None) or None)
+            out.append(v if v and (f.kind not in "NF" or _NUMERIC.match(v)) else None)
         given += 1
         yield tuple(out)
 

@@ -104,7 +104,8 @@ def refresh_cache(requested: DataFrame, cached: DataFrame, key: str, fetch: Call
     spark = requested.sparkSession
     keys = [r[0] for r in missing_keys(requested, cached, key).orderBy(key).limit(limit).collect()]
     rows = [r for k in keys if (r := fetch(k)) is not None]
-    fresh = spark.createDataFrame([tuple(r.get(f.name) for f in cached.schema.fields) for r in rows], cached.schema)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in cached.schema.fields])
+    fresh = spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in rows], schema)
     return cached.unionByName(fresh)
 
 
