@@ -58,29 +58,26 @@ def writing(text: Column, is_number: Column) -> Column:
     )
 
 
-def content_tokens(text: Column) -> Column:
-    """What a value is, whatever its writing: its shape (counted twice), its leading part roughly and finely.
+def with_content(cells: DataFrame) -> DataFrame:
+    """Adds ``tokens``, what each value is whatever its writing: its shape (counted twice), its leading part roughly and finely.
 
     Numbers of up to three digits have the shape ``int`` and lead with their size, in steps of five and exactly; longer ones
     have their number of digits and their first digit; decimals that they have a fraction; other texts letters and digits in
-    pattern.
+    pattern. The steps are columns of their own, so that none is computed twice.
     """
-    text = F.regexp_replace(text, r"^(\d{2})/(\d{2})/(\d{4})$", "$3$2$1")  # the writing of a day doesn't matter here
-    flat = F.regexp_replace(text, r"[-./,]", "")
-    decimal = text.rlike(r"^[-+]?\d+[.,]\d{1,2}$")
-    digits = flat.rlike(r"^\d+$")
-    small = digits & (F.length(flat) <= 3)
-    shape = (
-        F.when(decimal, "decimal")
-        .when(small, "int")
-        .when(digits, F.concat(F.lit("d"), F.length(flat).cast("string")))
-        .otherwise(F.substring(F.regexp_replace(F.regexp_replace(text, r"[0-9]", "9"), r"[^9\W]", "a"), 1, 12))
-    )
-    first, value = F.substring(text, 1, 1), flat.try_cast("int")
-    rough = F.when(small, F.floor(value / 5).cast("string")).otherwise(first)
-    fine = F.when(small, value.cast("string")).otherwise(first)
-    kind = F.concat(F.lit("s:"), shape)
-    return F.array(kind, kind, F.concat(F.lit("l:"), rough), F.concat(F.lit("x:"), fine))
+    text, flat = F.col("text"), F.col("_flat")
+    swap = F.regexp_replace(text, r"^(\d{2})/(\d{2})/(\d{4})$", "$3$2$1")  # the writing of a day doesn't matter here
+    iso = F.when(text.contains("/"), swap).otherwise(text)
+    fraction = (text.contains(".") | text.contains(",")) & text.rlike(r"^[-+]?\d+[.,]\d{1,2}$")
+    staged = cells.withColumn("_iso", iso).withColumn("_flat", F.translate("_iso", "-./,", "")).withColumn("_digits", flat.rlike(r"^\d+$"))
+    staged = staged.withColumn("_size", F.when(F.col("_digits"), F.length("_flat"))).withColumn("_small", F.when(F.col("_size") <= 3, flat.cast("int")))
+    pattern = F.substring(F.regexp_replace(F.regexp_replace(text, r"[0-9]", "9"), r"[^9\W]", "a"), 1, 12)
+    shape = F.when(fraction, "s:decimal").when(F.col("_small").isNotNull(), "s:int").when(F.col("_digits"), F.concat(F.lit("s:d"), "_size")).otherwise(F.concat(F.lit("s:"), pattern))
+    first = F.substring("_iso", 1, 1)
+    rough = F.concat(F.lit("l:"), F.coalesce(F.floor(F.col("_small") / 5).cast("string"), first))
+    fine = F.concat(F.lit("x:"), F.coalesce(F.col("_small").cast("string"), first))
+    out = staged.withColumn("_shape", shape).withColumn("tokens", F.array(F.col("_shape"), F.col("_shape"), rough, fine))
+    return out.drop("_iso", "_flat", "_digits", "_size", "_small", "_shape")
 
 
 def cell_counts(raw: DataFrame) -> DataFrame:
@@ -89,11 +86,10 @@ def cell_counts(raw: DataFrame) -> DataFrame:
     The one pass over the payloads; everything about a file's schema follows from these counts, a few rows a field. A field
     that only holds nulls has the one token ``w:`` with the count 0.
     """
-    cells = line_fields(raw, FILE)
     text = F.col("text")
-    tokens = F.when(text.isNull(), F.array(F.lit("w:"))).otherwise(
-        F.concat(F.array(F.concat(F.lit("w:"), writing(text, F.col("is_number")))), content_tokens(text))
-    )
+    cells = with_content(line_fields(raw, FILE))
+    usual = F.array(F.concat(F.lit("w:"), writing(text, F.col("is_number"))))
+    tokens = F.when(text.isNull(), F.array(F.lit("w:"))).otherwise(F.concat(usual, "tokens"))
     return cells.select(*FILE, "field", "text", F.explode(tokens).alias("token")).groupBy(*FILE, "field", "token").agg(F.count("text").alias("n"))
 
 
@@ -114,12 +110,13 @@ def _next(df: DataFrame) -> DataFrame:
     return df.withColumn("file_id", F.col("file_id") + 1)
 
 
-def schema_changes(raw: DataFrame) -> DataFrame:
+def schema_changes(raw: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(stream_id, file_id, change_kind, field_name, prior_name, prior_writing, new_writing), one row per change.
 
     A file without the file before it in its stream has no changes. Repeated lines and the order of fields don't matter.
+    ``counts``: ``cell_counts`` of ``raw``, if they are there already.
     """
-    counts = cut(cell_counts(raw))
+    counts = cut(cell_counts(raw)) if counts is None else counts
     now = cut(file_fields(counts))
     files = now.select(*FILE).distinct()
     paired = files.join(_next(files), FILE, "left_semi")
@@ -224,14 +221,14 @@ def common_names(counts: DataFrame, changes: DataFrame) -> dict[str, str]:
     return {f: max(g, key=lambda x: (n[x], x)) for f, g in group.items()}
 
 
-def unified(raw: DataFrame, changes: DataFrame, keys: list[str]) -> tuple[DataFrame, dict[str, str]]:
+def unified(raw: DataFrame, changes: DataFrame, keys: list[str], counts: DataFrame | None = None) -> tuple[DataFrame, dict[str, str]]:
     """All lines as one table: ``keys``, ``schema_version`` and one column per common name, cast to its kind.
 
     The kinds are date (8 digits in any writing), decimal, and text; a number in a text column that usually holds strings of
     one width gets its lost leading zeros back. A value that doesn't fit its column's kind is null there and stays in
     ``unread``. Repeated lines stay repeated.
     """
-    counts = cut(cell_counts(raw))
+    counts = cut(cell_counts(raw)) if counts is None else counts
     names = common_names(counts, changes)
     versions = schema_versions(counts)
     if not names:
@@ -253,21 +250,14 @@ def unified(raw: DataFrame, changes: DataFrame, keys: list[str]) -> tuple[DataFr
     }
     width = F.create_map(*[x for k, r in sorted(kinds.items()) for x in (F.lit(k), F.lit(r.width or 0))]) if kinds else None
     padded = F.when(flat.rlike(r"^\d+$"), F.when(F.length(flat) < width[F.col("name")], F.lpad(flat, width[F.col("name")], "0")).otherwise(flat)).otherwise(F.col("text"))
-    typed = {}
-    for k, r in kinds.items():
-        if 2 * r.days > r.n:
-            typed[k] = ("date", day)
-        elif 2 * r.decimals > r.n:
-            typed[k] = ("double", F.regexp_replace("text", ",", ".").try_cast("double"))
-        else:
-            typed[k] = ("string", padded)
-    value = F.lit(None).cast("string")
-    for k, (_, expr) in typed.items():
-        value = F.when(F.col("name") == k, expr.cast("string")).otherwise(value)
+    typed = {k: "date" if 2 * r.days > r.n else "double" if 2 * r.decimals > r.n else "string" for k, r in kinds.items()}
+    kind = F.create_map(*[F.lit(x) for kv in sorted(typed.items()) for x in kv])[F.col("name")] if typed else F.lit("string")
+    value = F.when(F.col("_kind") == "date", day.cast("string")).when(F.col("_kind") == "double", F.regexp_replace("text", ",", ".").try_cast("double").cast("string")).otherwise(padded)
+    cells = cells.withColumn("_kind", kind)
     lines = cells.withColumn("value", value).groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("name", "value")))).alias("_m"),
         F.array_sort(F.collect_list(F.when(F.col("value").isNull(), F.concat_ws("=", "field", "text")))).alias("unread"),
     )
     out = raw.select(*keys).join(lines, keys, "left").join(versions.select(*FILE, "schema_version"), FILE, "left")
-    columns = [F.col("_m")[k].try_cast(t).alias(k) for k, (t, _) in sorted(typed.items())]
+    columns = [F.col("_m")[k].try_cast(t).alias(k) for k, t in sorted(typed.items())]
     return out.select(*keys, "schema_version", *columns, F.coalesce("unread", F.array().cast("array<string>")).alias("unread")), names

@@ -87,8 +87,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_unified(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "raw_records")
-    changes = cut(drift.schema_changes(raw))
-    return drift.unified(raw, changes, ["raw_id", "stream_id", "file_id", "family", "cmpt", "line_no"])[0]
+    counts = cut(drift.cell_counts(raw))
+    changes = cut(drift.schema_changes(raw, counts))
+    return drift.unified(raw, changes, ["raw_id", "stream_id", "file_id", "family", "cmpt", "line_no"], counts)[0]
 
 
 def p4_versions(spark: SparkSession, d: str) -> DataFrame:
