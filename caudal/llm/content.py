@@ -28,7 +28,7 @@ CATEGORIES = ("abusive", "hateful", "sexual")
 #: The sample: at most so many marked pages, and of these so many characters, taken in the order of a hash of their ids.
 MAX_MARKED, MAX_CHARS = 8_000, 64_000_000
 WINDOW = 14
-LEAST_PAGES, MOST_PAGES = 3, 0.15
+LEAST_PAGES, MOST_PAGES = 2, 0.15
 FOLDS, STEPS, L2, SCALE = 4, 45, 1.0, 0.3
 
 _SPACED = re.compile(r"(?<!\w)(?:\w ){3,}\w(?!\w)")
