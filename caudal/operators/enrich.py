@@ -99,8 +99,8 @@ def municipality_reference(catalog: DataFrame, centres: DataFrame) -> DataFrame:
     own = catalog_rows(catalog).join(c, F.col("ibge_id") == F.col("_cid"), "left")
     pair = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     of_state = own.where(pair).groupBy(F.col("m_state").alias("_s")).agg(F.avg("lat").alias("_slat"), F.avg("lon").alias("_slon"))
-    of_all = own.agg(F.avg(F.when(pair, F.col("lat"))).alias("_nlat"), F.avg(F.when(pair, F.col("lon"))).alias("_nlon"))  # one row
-    every = own.join(of_state, F.col("m_state") == F.col("_s"), "left").join(of_all, F.lit(True), "left")
+    of_all = [own.agg(F.avg(F.when(pair, F.col(c)))).scalar().alias(f"_n{c}") for c in ("lat", "lon")]
+    every = own.join(of_state, F.col("m_state") == F.col("_s"), "left").select("*", *of_all)
     return every.select(
         "ibge_id", F.col("code6").alias("municipality_code"), F.col("m_name").alias("municipality_name"), F.col("m_state").alias("uf"),
         F.when(pair, F.col("lat")).otherwise(F.coalesce("_slat", "_nlat", F.lit(COUNTRY_CENTRE[0]))).alias("latitude"),

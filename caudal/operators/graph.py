@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as nz
-from ..session import cut
+from ..session import beside, cut
 from .edges import at_least, first_known
 from .nodes import endpoints, keep_first
 
@@ -67,7 +67,7 @@ def summary(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: counts, density and mean degree."""
     m = edges.agg(F.count(F.lit(1)).alias("n_edges"), F.coalesce(F.sum(F.col("transfer_count").cast("double")), F.lit(0.0)).alias("total_weight"))
     n = vertices.agg(F.count(F.lit(1)).alias("n_nodes"))
-    both = n.join(m, F.lit(True))  # one row beside one row
+    both = beside(n, m)
     pairs = F.col("n_nodes").cast("double") * (F.col("n_nodes") - 1)
     return both.select(
         "n_nodes", "n_edges", "total_weight", F.when(F.col("n_nodes") > 1, F.round(F.col("n_edges") / pairs, 8)).otherwise(0.0).alias("density"),
@@ -79,9 +79,9 @@ def degree_histogram(vertices: DataFrame, edges: DataFrame, bins: int = 40) -> D
     """Equal bins from the smallest to the largest degree, the last closed; empty bins are left out. At least 5 bins."""
     bins = max(bins, 5)
     d = degrees(vertices, edges).groupBy("degree").agg(F.count(F.lit(1)).alias("n"))
-    span = d.agg(F.min("degree").cast("double").alias("lo"), F.max("degree").cast("double").alias("hi"))  # one row
+    lo, hi = (d.agg(f("degree").cast("double")).scalar() for f in (F.min, F.max))
     # one value only: a bin range of one around it
-    j = d.join(span, F.lit(True)).withColumn("_lo", F.when(F.col("hi") > F.col("lo"), F.col("lo")).otherwise(F.col("lo") - 0.5))
+    j = d.select("*", lo.alias("lo"), hi.alias("hi")).withColumn("_lo", F.when(F.col("hi") > F.col("lo"), F.col("lo")).otherwise(F.col("lo") - 0.5))
     j = j.withColumn("_w", F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(F.lit(1.0 / bins)))
     b = F.least(F.floor((F.col("degree") - F.col("_lo")) / F.col("_w")), F.lit(bins - 1)).cast("int")
     return j.groupBy(b.alias("bin")).agg(F.sum("n").alias("n_nodes"), F.min(F.round(F.col("_lo") + b * F.col("_w"), 6)).alias("bin_start"))
@@ -241,4 +241,4 @@ def map_summary(nodes: DataFrame, drawn: DataFrame) -> DataFrame:
         F.round(F.avg("latitude"), 6).alias("centre_latitude"), F.round(F.avg("longitude"), 6).alias("centre_longitude"),
     )
     b = drawn.agg(F.count(F.lit(1)).alias("edges_considered"), F.count_if("drawn").alias("edges_drawn"), F.count_if(~F.col("drawn")).alias("edges_without_coordinates"))
-    return a.join(b, F.lit(True))  # one row beside one row
+    return beside(a, b)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as nz
+from ..session import beside
 from .roles import ROLES, first_available
 
 NODE_SCHEMA = {
@@ -133,7 +134,7 @@ def contract_metrics(nodes: DataFrame, edges: DataFrame, strict_nulls: bool = Fa
         n.alias("edges_total"), F.count_if(invalid).alias("invalid_transfer_count_rows"), s.alias("source_node_missing_rows"), t.alias("target_node_missing_rows"),
         nz.ratio(s + t, 2 * n).alias("missing_node_reference_ratio"),
     )
-    return of_nodes.join(of_edges, F.lit(True))  # one row beside one row
+    return beside(of_nodes, of_edges)
 
 
 def contract(nodes: DataFrame, edges: DataFrame, max_missing: float = 0.0, min_names: float = 0.9, strict_nulls: bool = False) -> dict:

@@ -70,17 +70,20 @@ class OrphanTracker:
         end = F.lit(upto).cast("timestamp")
         known = lives.where(F.col("born") < end)
         on = (F.col("r.ref_key") == F.col("p.ref_key")) & (F.col("p.born") <= F.col("r.seen_at")) & (F.col("p.gone") > F.col("r.seen_at"))
-        found = refs.alias("r").join(known.alias("p"), on, "left_anti")
+        found = cut(refs.alias("r").join(known.alias("p"), on, "left_anti"))
 
         alive = known.where(F.col("gone") >= end).select("ref_key").distinct().withColumn("_alive", F.lit(True))
-        arrived = refs.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_new"))
-        orphaned = found.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_orphan"))
-        old = self.state.withColumnRenamed("n_refs", "n_old").withColumnRenamed("waiting", "was_waiting")
-        nil = lambda c: F.coalesce(F.col(c), F.lit(0))
-        merged = (
-            old.join(arrived, GROUP, "full").join(orphaned, GROUP, "left").join(alive, "ref_key", "left")
-            .select(*GROUP, nil("n_old").alias("n_old"), nil("n_new").alias("n_new"), nil("n_orphan").alias("n_orphan"), "was_waiting", F.col("_alive").isNull().alias("waiting"))
+        none = F.lit(0).cast("long")
+        parts = [
+            self.state.select(*GROUP, F.col("n_refs").alias("n_old"), none.alias("n_new"), none.alias("n_orphan"), F.col("waiting").alias("was_waiting")),
+            refs.select(*GROUP, none.alias("n_old"), F.lit(1).cast("long").alias("n_new"), none.alias("n_orphan"), F.lit(None).cast("boolean").alias("was_waiting")),
+            found.select(*GROUP, none.alias("n_old"), none.alias("n_new"), F.lit(1).cast("long").alias("n_orphan"), F.lit(None).cast("boolean").alias("was_waiting")),
+        ]
+        counted = (
+            parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*GROUP)
+            .agg(*[F.sum(c).alias(c) for c in ("n_old", "n_new", "n_orphan")], F.max("was_waiting").alias("was_waiting"))
         )
+        merged = counted.join(alive, "ref_key", "left").withColumn("waiting", F.col("_alive").isNull()).drop("_alive")
         merged = cut(merged.withColumn("n_refs", F.col("n_old") + F.col("n_new")))
         self.state = merged.select(*GROUP, "n_refs", "waiting")
         flag = lambda cond, n: F.sum(F.when(cond, n).otherwise(F.lit(0)))
@@ -106,16 +109,16 @@ def track_orphans(refs: DataFrame, parents: DataFrame, key: str, born: str, gone
     an orphan. Empty inputs give empty outputs.
     """
     spark = refs.sparkSession
-    rows = cut(refs.where(F.col("ref_key").isNotNull()))
+    month = F.date_format("seen_at", "yyyyMM")
+    rows = cut(refs.where(F.col("ref_key").isNotNull()).withColumn("_month", month), by="_month")
     lives = cut(parent_index(parents, key, born, gone))
     first, last = rows.agg(F.min("seen_at"), F.max("seen_at")).first()
     tracker = OrphanTracker(spark)
-    found = [rows.where(F.col("seen_at").isNull())]
+    found = [rows.where(F.col("seen_at").isNull()).drop("_month")]
     snapshots: list[DataFrame] = []
-    begin: datetime | None = None
+    begin = first and datetime(first.year, first.month, 1)
     for end in month_ends(first, last) if first else []:
-        within = (F.col("seen_at") < F.lit(end).cast("timestamp")) & (F.col("seen_at") >= F.lit(begin).cast("timestamp") if begin else F.lit(True))
-        f, s = tracker.advance(rows.where(within), lives, end)
+        f, s = tracker.advance(rows.where(F.col("_month") == f"{begin:%Y%m}").drop("_month"), lives, end)
         found.append(f)
         snapshots.append(s)
         begin = end

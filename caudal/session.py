@@ -39,15 +39,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there and lost executors lose nothing.
 
     A written table keeps column pruning and pushed filters, which ``checkpoint()`` would lose. It lies under the application's
-    own folder; ``clear_shared`` removes that.
+    own folder; ``clear_shared`` removes that. ``by``: a column of few values that later filters name, laid out as folders.
     """
     path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def _own_folder(spark: SparkSession) -> str:
@@ -61,5 +61,10 @@ def clear_shared(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two one-row frames as one row; the right one becomes scalar subqueries, so no join is planned."""
+    return left.select("*", *[right.select(c).scalar().alias(c) for c in right.columns])
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
