@@ -641,7 +641,7 @@ def viz_map_edges(spark, d):
     return graph.map_edges(table(spark, d, "nodes"), e, 500)
 
 
-@query(g_sql(1, True) + " SELECT node_id, round(least(greatest(8 + 0.6 * degree, 8.0), 40.0), 6) AS node_size, round(least(greatest(0.5 * weighted_degree, 0.8), 12.0), 6) AS edge_width, round(least(5.0, greatest(0.6, 0.04 * weighted_degree)), 6) AS page_width FROM deg")
+@query(g_sql(1, True) + " SELECT node_id, round(least(greatest(8 + 0.6 * CAST(degree AS DOUBLE), 8.0), 40.0), 6) AS node_size, round(least(greatest(0.5 * weighted_degree, 0.8), 12.0), 6) AS edge_width, round(least(5.0, greatest(0.6, 0.04 * weighted_degree)), 6) AS page_width FROM deg")
 def viz_scales(spark, d):
     deg = graph.degrees(*_graph(spark, d))
     return deg.select("node_id", F.round(nz.node_size(F.col("degree")), 6).alias("node_size"), F.round(nz.edge_width(F.col("weighted_degree")), 6).alias("edge_width"), F.round(nz.page_line_width(F.col("weighted_degree")), 6).alias("page_width"))
