@@ -12,11 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut
 
@@ -46,12 +44,12 @@ def parent_index(parents: DataFrame, key: str, born: str, gone: str) -> DataFram
     return runs.groupBy("ref_key", "_run").agg(F.min("born").alias("born"), F.max("gone").alias("gone")).drop("_run")
 
 
-def month_ends(first: datetime, last: datetime) -> list[datetime]:
-    """The starts of the months after ``first`` up to the one after ``last``."""
-    out, y, m = [], first.year, first.month
-    while (y, m) <= (last.year, last.month):
+def months(first: str, last: str) -> list[tuple[str, str]]:
+    """The months ``yyyyMM`` from ``first`` to ``last``, each with the day after it. Texts, so that only the session's time zone counts."""
+    out, y, m = [], int(first[:4]), int(first[4:])
+    while (now := f"{y:04d}{m:02d}") <= last:
         y, m = (y + 1, 1) if m == 12 else (y, m + 1)
-        out.append(datetime(y, m, 1))
+        out.append((now, f"{y:04d}-{m:02d}-01"))
     return out
 
 
@@ -65,8 +63,8 @@ class OrphanTracker:
     def __post_init__(self) -> None:
         self.state = self.state if self.state is not None else self.spark.createDataFrame([], STATE)
 
-    def advance(self, refs: DataFrame, lives: DataFrame, upto: datetime) -> tuple[DataFrame, DataFrame]:
-        """Returns the references that were orphans when they arrived, and the snapshot at ``upto``."""
+    def advance(self, refs: DataFrame, lives: DataFrame, upto: str) -> tuple[DataFrame, DataFrame]:
+        """Returns the references that were orphans when they arrived, and the snapshot at ``upto`` (a date)."""
         end = F.lit(upto).cast("timestamp")
         known = lives.where(F.col("born") < end)
         on = (F.col("r.ref_key") == F.col("p.ref_key")) & (F.col("p.born") <= F.col("r.seen_at")) & (F.col("p.gone") > F.col("r.seen_at"))
@@ -112,21 +110,19 @@ def track_orphans(refs: DataFrame, parents: DataFrame, key: str, born: str, gone
     month = F.date_format("seen_at", "yyyyMM")
     rows = cut(refs.where(F.col("ref_key").isNotNull()).withColumn("_month", month), by="_month")
     lives = cut(parent_index(parents, key, born, gone))
-    first, last = rows.agg(F.min("seen_at"), F.max("seen_at")).first()
+    first, last = rows.agg(F.min("_month"), F.max("_month")).first()
     tracker = OrphanTracker(spark)
     found = [rows.where(F.col("seen_at").isNull()).drop("_month")]
     snapshots: list[DataFrame] = []
-    begin = first and datetime(first.year, first.month, 1)
-    for end in month_ends(first, last) if first else []:
-        f, s = tracker.advance(rows.where(F.col("_month") == f"{begin:%Y%m}").drop("_month"), lives, end)
+    for now, end in months(first, last) if first else []:
+        f, s = tracker.advance(rows.where(F.col("_month") == now).drop("_month"), lives, end)
         found.append(f)
         snapshots.append(s)
-        begin = end
     return _union(spark, found, REFS), _union(spark, snapshots, SNAPSHOT), tracker.state
 
 
 def _union(spark: SparkSession, parts: Sequence[DataFrame], schema: str) -> DataFrame:
-    out = spark.createDataFrame([], schema if isinstance(schema, str) else T.StructType(schema))
+    out = spark.createDataFrame([], schema)
     for p in parts:
         out = out.unionByName(p)
     return out
