@@ -164,7 +164,11 @@ def _run_in(items: Items, k: int, page: str, stretch: tuple[int, int, int, int])
 
 
 def _scan(docs: DataFrame, shared, text: str) -> DataFrame:
-    """Per page and item the separate seeds found; seeds that stood alone only as counts (doc_id null)."""
+    """Per page and item the separate seeds found; seeds that stood alone only as counts (doc_id null).
+
+    A seed weighs half as much as one found nowhere else, at most, so fewer than ``fewest`` can't make a candidate.
+    """
+    fewest = 2 * LEAST_UNIQUE
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items: Items = shared.value
@@ -181,6 +185,8 @@ def _scan(docs: DataFrame, shared, text: str) -> DataFrame:
                         by.setdefault(k, []).append((offset, s))
                 for k, found in by.items():
                     if len(found) > 1 and max(found)[0] - min(found)[0] >= SEED:
+                        if len(found) < fewest:
+                            continue
                         ids.append(doc)
                         which.append(items.ids[k])
                         seeds.append([s for _, s in found])
@@ -192,7 +198,7 @@ def _scan(docs: DataFrame, shared, text: str) -> DataFrame:
                 which.append(k)
                 seeds.append([s])
                 counts.append(n)
-            yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "item_id": which, "seeds": seeds, "n": counts})
+            yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "item_id": pd.array(which, dtype="int64"), "seeds": pd.Series(seeds, dtype=object), "n": pd.array(counts, dtype="int64")})
 
     return docs.mapInPandas(run, "doc_id long, item_id long, seeds array<int>, n long")
 
