@@ -155,14 +155,15 @@ class Chain:
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     """The score from which F0.5 is best, midway to the next lower one; above 1 if nothing is marked.
 
-    Wrong marks hide how much is found, not how much of it is right, so precision weighs more.
+    Wrong marks hide how much is found, not how much of it is right, so precision weighs more; and no more pages are taken than
+    are marked, so that a model of few marks, which can't tell pages apart, doesn't take most of them.
     """
     if not y.sum():
         return 1.1
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
     f_half = 1.25 * hits / (np.arange(1, len(y) + 1) + 0.25 * y.sum())
-    j = int(f_half.argmax())
+    j = int(f_half[: max(1, int(y.sum()))].argmax())
     return float((p[order[j]] + (p[order[j + 1]] if j + 1 < len(y) else 0.0)) / 2)
 
 
