@@ -586,6 +586,7 @@ _SCC = g_sql(12) + ", " + _ISLANDS + "reach(a, b) AS (SELECT node_id, node_id FR
 
 
 def _islands(spark, d):
+    """Only transfer edges, of rows with at least 12 transfers: not the components of the graph, which are ``graph_*_all``."""
     v, e = _graph(spark, d, 12)
     return v, e.where("edge_type = 'transfer'")
 
@@ -610,6 +611,28 @@ def graph_scc_sizes(spark, d):
     return graph.component_sizes(graph_scc(spark, d))
 
 
+@query()
+def graph_wcc_all(spark, d):
+    """Weak components of the whole graph: every edge of every type, none left out for its count."""
+    return graph.weak_components(*_graph(spark, d))
+
+
+@query()
+def graph_wcc_all_sizes(spark, d):
+    return graph.component_sizes(graph_wcc_all(spark, d))
+
+
+@query()
+def graph_scc_all(spark, d):
+    """Strong components of the whole graph: every edge of every type, none left out for its count."""
+    return graph.strong_components(*_graph(spark, d))
+
+
+@query()
+def graph_scc_all_sizes(spark, d):
+    return graph.component_sizes(graph_scc_all(spark, d))
+
+
 @query(g_sql(1, True) + """, kn AS (SELECT node_id FROM deg ORDER BY weighted_degree DESC, node_id LIMIT 100), ke AS (SELECT * FROM g WHERE source_node_id IN (SELECT node_id FROM kn) AND target_node_id IN (SELECT node_id FROM kn))
   SELECT source_node_id, target_node_id, transfer_count FROM ke ORDER BY transfer_count DESC, source_node_id, target_node_id LIMIT 150""")
 def graph_subgraph(spark, d):

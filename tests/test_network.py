@@ -231,6 +231,38 @@ def test_components_against_brute_force(spark):
     assert graph.weak_components(v.limit(0), e.limit(0)).count() == graph.strong_components(v.limit(0), e.limit(0)).count() == 0
 
 
+def test_components_of_the_whole_graph(spark, folder):
+    from caudal.plans import network
+
+    v, e = (x.collect() for x in network._graph(spark, folder))
+    ids = {r.node_id for r in v}
+    assert any(r.edge_type == "residence" for r in e) and any(r.transfer_count < 12 for r in e)
+    after, before = {x: set() for x in ids}, {x: set() for x in ids}
+    for r in e:
+        after[r.source_node_id].add(r.target_node_id)
+        before[r.target_node_id].add(r.source_node_id)
+
+    def reached(x, *steps):
+        seen, todo = {x}, [x]
+        while todo:
+            y = todo.pop()
+            for z in set().union(*(s[y] for s in steps)) - seen:
+                seen.add(z)
+                todo.append(z)
+        return seen
+
+    weak, strong = {}, {}
+    for x in ids:
+        weak[x] = weak.get(x) or min(reached(x, after, before))
+        if x not in strong:
+            own = reached(x, after) & reached(x, before)
+            strong.update(dict.fromkeys(own, max(own)))
+    got = {n: network.QUERIES[n](spark, folder).collect() for n in ("graph_wcc_all", "graph_scc_all")}
+    assert len(got["graph_wcc_all"]) == len(got["graph_scc_all"]) == len(ids)
+    assert {r.node_id: r.component for r in got["graph_wcc_all"]} == weak
+    assert {r.node_id: r.component for r in got["graph_scc_all"]} == strong
+
+
 def test_rollup_and_build(spark):
     rows = [("f:1", "f:2", "transfer", 2.0, 1.0, None, "02"), ("f:1", "f:2", "transfer", None, 0.5, "m2", "03"), ("f:1", "f:2", "residence", 9.0, None, "m1", "01"), (" ", "f:2", None, 5.0, None, None, "01")]
     p = spark.createDataFrame(rows, "source_node_id string, target_node_id string, edge_type string, transfer_count double, confidence_score double, match_method string, period string")
