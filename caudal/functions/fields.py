@@ -62,6 +62,23 @@ def tax_number(value: Column) -> Column:
     return F.when(~digits.rlike(r"^(\d)\1*$"), digits)
 
 
+def matching(value: Column, pattern: str) -> Column:
+    """The trimmed value if it has the pattern, else null."""
+    v = F.trim(value)
+    return F.when(v.rlike(pattern), v)
+
+
+def whole_number(value: Column, most: int) -> Column:
+    """A whole number from 0 to ``most``, else null."""
+    n = matching(value, r"^\d{1,9}$").cast("int")
+    return F.when(n <= most, n)
+
+
+def amount(value: Column) -> Column:
+    """An amount of at most 15 digits before a decimal point or comma and two after it, not negative, else null."""
+    return F.translate(matching(value, r"^\d{1,15}([.,]\d{1,2})?$"), ",", ".").cast("decimal(18,2)")
+
+
 def node_reference(value: Column) -> Column:
     """``kind:code`` in one spelling: no outer spaces, lower case, facilities with 7 digits, municipalities with 6.
 

@@ -18,11 +18,15 @@ from ..functions import fields
 
 @dataclass(frozen=True)
 class Rule:
-    """``parsed`` gives null for malformed values; ``alternative`` tells the second well-formed writing; ``region`` a class."""
+    """``parsed`` gives null for malformed values; ``alternative`` tells the second well-formed writing; ``region`` a class.
+
+    ``numeric``: parsed values are ordered as numbers, else as text (which is right for days and moments).
+    """
 
     parsed: Callable[[Column], Column]
-    alternative: Callable[[Column], Column]
+    alternative: Callable[[Column], Column] = lambda v: F.lit(False)
     region: Callable[[Column], Column] | None = None
+    numeric: bool = False
 
 
 RULES: dict[str, Rule] = {
@@ -32,6 +36,26 @@ RULES: dict[str, Rule] = {
     "cgc_hosp": Rule(fields.tax_number, lambda v: F.trim(v).contains("/")),
 }
 
+#: Rules of all columns of stays but ``feed``, whose names are free.
+ALL_RULES: dict[str, Rule] = RULES | {
+    "cmpt": Rule(lambda v: fields.matching(v, r"^\d{4}(0[1-9]|1[0-2])$")),
+    "cnes": Rule(lambda v: fields.matching(v, r"^\d{7}$")),
+    "n_aih": Rule(lambda v: fields.matching(v, r"^(?!(\d)\1*$)\d{13}$")),
+    "cep": Rule(lambda v: fields.matching(v, r"^(?!(\d)\1*$)\d{8}$")),
+    "sexo": Rule(lambda v: fields.matching(v, r"^[13]$")),
+    "idade": Rule(lambda v: fields.whole_number(v, 130), numeric=True),
+    "dt_saida": Rule(fields.entry_moment, lambda v: ~F.trim(v).contains("-")),
+    "diag_princ": Rule(lambda v: fields.matching(v, r"^[A-Z]\d{2,3}$")),
+    "cobranca": Rule(lambda v: fields.matching(v, r"^\d{2}$")),
+    "dias_perm": Rule(lambda v: fields.whole_number(v, 9999), numeric=True),
+    "marca_uti": Rule(lambda v: fields.matching(v, r"^\d{2}$")),
+    "proc_rea": Rule(lambda v: fields.matching(v, r"^\d{10}$")),
+    "val_tot": Rule(fields.amount, lambda v: F.trim(v).contains(","), numeric=True),
+    "raca_cor": Rule(lambda v: fields.matching(v, r"^(0[1-5]|99)$")),
+    "arrived_at": Rule(lambda v: v.try_cast("timestamp_ntz")),
+    "stay_id": Rule(lambda v: v.try_cast("long"), numeric=True),
+}
+
 NULL_CHANGE, TOP_CHANGE, FORM_CHANGE, REGION_CHANGE = 0.10, 0.15, 0.30, 0.40
 KEYS = ["load_id", "column_name"]
 
@@ -74,31 +98,56 @@ def judged(counts: DataFrame, rules: dict[str, Rule]) -> DataFrame:
     return out.withColumn("region", F.when(F.col("well"), _by_column(rules, lambda r: r.region(v) if r.region else None, F.lit(None).cast("string"))))
 
 
-def load_profile(counts: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
-    """One row per load and column. ``entropy`` is in bits over the non-blank values; ranges compare values as strings."""
+def _metrics(values: DataFrame, *more: Column) -> DataFrame:
     n, filled = F.col("n"), F.col("value").isNotNull()
     some = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("long")
-    agg = (
-        judged(counts, RULES if rules is None else rules)
-        .groupBy(*KEYS)
-        .agg(
-            F.sum("n").alias("n_rows"),
-            some(~filled).alias("n_blank"),
-            F.count(F.when(filled, 1)).alias("n_distinct"),
-            F.min("value").alias("min_value"),
-            F.max("value").alias("max_value"),
-            some(F.col("well") == F.lit(False)).alias("n_bad"),
-            some(F.col("well")).alias("n_well"),
-            some(F.col("alt")).alias("n_alt"),
-            F.coalesce(F.max(F.when(filled, n)), F.lit(0)).cast("long").alias("n_top"),
-            F.sum(F.when(filled, n * F.log2(n.cast("double")))).alias("_nlogn"),
-        )
+    agg = values.groupBy(*KEYS).agg(
+        F.sum("n").alias("n_rows"),
+        some(~filled).alias("n_blank"),
+        F.count(F.when(filled, 1)).alias("n_distinct"),
+        F.min("value").alias("min_value"),
+        F.max("value").alias("max_value"),
+        some(F.col("well") == F.lit(False)).alias("n_bad"),
+        some(F.col("well")).alias("n_well"),
+        some(F.col("alt")).alias("n_alt"),
+        F.coalesce(F.max(F.when(filled, n)), F.lit(0)).cast("long").alias("n_top"),
+        F.sum(F.when(filled, n * F.log2(n.cast("double")))).alias("_nlogn"),
+        *more,
     )
     total = F.col("n_rows") - F.col("n_blank")
     entropy = F.when(total > 0, F.log2(total.cast("double")) - F.coalesce(F.col("_nlogn"), F.lit(0.0)) / total).otherwise(F.lit(0.0))
     return agg.withColumn("entropy", F.round(F.greatest(entropy, F.lit(0.0)), 6)).drop("_nlogn")
 
 
+def load_profile(counts: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
+    """One row per load and column. ``entropy`` is in bits over the non-blank values; ranges compare values as strings.
+
+    A column without a rule has no malformed values here; ``full_profile`` tells the two apart.
+    """
+    return _metrics(judged(counts, RULES if rules is None else rules))
+
+
+def full_profile(counts: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
+    """``load_profile`` where ``n_bad``, ``n_well`` and ``n_alt`` are null for a column without a rule.
+
+    ``low`` and ``high`` are the range of the well-formed values (without a rule, of all) whatever their writing: numbers by size,
+    days and moments by time, the rest as text.
+    """
+    rules = ALL_RULES if rules is None else rules
+    v = F.col("value")
+    known = F.col("column_name").isin(*rules) if rules else F.lit(False)
+    # each value is parsed once; what follows is taken from its text
+    values = counts.withColumn("_text", _by_column(rules, lambda r: r.parsed(v).cast("string"), v))
+    values = values.withColumn("well", F.when(v.isNotNull() & known, F.col("_text").isNotNull()))
+    values = values.withColumn("alt", F.col("well") & _by_column(rules, lambda r: r.alternative(v), F.lit(False)))
+    numeric = [c for c, r in rules.items() if r.numeric]
+    size = F.when(F.col("column_name").isin(*numeric), F.col("_text").cast("decimal(28,2)")) if numeric else F.lit(None).cast("decimal(28,2)")
+    values = values.withColumn("_at", F.when(F.col("_text").isNotNull(), F.struct(size.alias("size"), F.col("_text").alias("text"))))
+    p = _metrics(values, F.min("_at").alias("_low"), F.max("_at").alias("_high"))
+    p = p.withColumns({c: F.when(known, F.col(c)) for c in ("n_bad", "n_well", "n_alt")})
+    return p.withColumns({"low": F.col("_low.text"), "high": F.col("_high.text")}).drop("_low", "_high")
+
+
 def region_shares(counts: DataFrame, rules: dict[str, Rule]) -> DataFrame:
     """Half the sum of the absolute differences of the region shares of a load and the load before it."""
     regional = {k: r for k, r in rules.items() if r.region}

@@ -55,6 +55,7 @@ P3_COLUMNS = (
     "feed", "cmpt", "cnes", "cgc_hosp", "n_aih", "cep", "munic_res", "nasc", "sexo", "idade", "dt_inter", "dt_saida",
     "diag_princ", "cobranca", "dias_perm", "marca_uti", "proc_rea", "val_tot", "raca_cor",
 )
+P3_ALL_COLUMNS = (*P3_COLUMNS, "arrived_at", "stay_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,6 +71,17 @@ def p3_profile(spark: SparkSession, d: str) -> DataFrame:
     return profile.load_profile(profile.value_deltas(table(spark, d, "stays"), list(P3_COLUMNS)))
 
 
+def p3_profile_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every load and every column of stays, all by rules of their own, with ranges of what the values mean."""
+    return profile.full_profile(profile.value_deltas(table(spark, d, "stays"), list(P3_ALL_COLUMNS)))
+
+
+def p3_changes_all(spark: SparkSession, d: str) -> DataFrame:
+    """The loads in which any column of stays changed against the load before."""
+    store = cut(profile.value_deltas(table(spark, d, "stays"), list(P3_ALL_COLUMNS)))
+    return profile.load_changes(store, profile.ALL_RULES)
+
+
 def p3_deltas(spark: SparkSession, d: str) -> DataFrame:
     """The profile of the table as it stands after all loads, then with the lines resent under a new stay_id taken back out."""
     stays = table(spark, d, "stays").withColumn("load_id", F.lit(0).cast("long"))
@@ -130,7 +142,7 @@ def p5_top_targets(spark: SparkSession, d: str) -> DataFrame:
     return top.withColumnRenamed("strength", "sum_transfer_count")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p2_snapshots, p3_found, p3_profile, p3_deltas, p4_found, p4_unified, p4_versions, p5_found, p5_totals, p5_top_targets)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p2_snapshots, p3_found, p3_profile, p3_profile_all, p3_changes_all, p3_deltas, p4_found, p4_unified, p4_versions, p5_found, p5_totals, p5_top_targets)}
 
 
 # --- SQL -----------------------------------------------------------------------------------------------------------------

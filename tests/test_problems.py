@@ -72,6 +72,41 @@ def test_profile_changes(spark):
     assert got == {(2, "null_change"), (2, "top_change"), (2, "form_change"), (2, "region_change")}
 
 
+def test_profile_of_all_columns(spark):
+    rows = [(1, "-1", "9,50", "20210507101500", "x"), (1, "9", "10.00", "2021-05-06 10:15:00", "x"), (1, "10", "1e3", "2021-02-22T08:15", None), (1, None, "100", "20210231000000", "y")]
+    df = spark.createDataFrame(rows, "load_id long, idade string, val_tot string, dt_saida string, feed string")
+    p = {r.column_name: r for r in profile.full_profile(profile.value_deltas(df, ["idade", "val_tot", "dt_saida", "feed"])).collect()}
+    assert [(p[c].n_bad, p[c].n_well, p[c].n_alt, p[c].low, p[c].high) for c in ("idade", "val_tot", "dt_saida", "feed")] == [
+        (1, 2, 0, "9", "10"), (1, 3, 1, "9.50", "100.00"), (2, 2, 1, "2021-05-06 10:15:00", "2021-05-07 10:15:00"), (None, None, None, "x", "y"),
+    ]
+
+
+def test_profile_and_changes_of_every_column(spark, folder):
+    from caudal.plans import core_problems
+
+    stays = spark.read.parquet(f"{folder}/stays.parquet")
+    got = core_problems.p3_profile_all(spark, folder).collect()
+    assert {r.column_name for r in got} == set(stays.columns) - {"load_id"} and {r.column_name for r in got if r.n_bad is None} == {"feed"}
+    ages = [r.idade.strip() for r in stays.collect() if r.idade and r.idade.strip()]
+    assert sum(r.n_bad for r in got if r.column_name == "idade") == sum(not (a.isdigit() and int(a) <= 130) for a in ages)
+    values = defaultdict(Counter)
+    for r in stays.collect():
+        for c in stays.columns:
+            values[r.load_id, c][None if r[c] is None or not str(r[c]).strip() else str(r[c]).strip()] += 1
+    want = set()
+    for (load, c), now in values.items():
+        if c != "load_id" and (before := values.get((load - 1, c))):
+            nulls, tops = ([x[None] / x.total() for x in (now, before)], [[n for v, n in x.items() if v is not None] for x in (now, before)])
+            if abs(nulls[0] - nulls[1]) >= 0.10 - 1e-9:
+                want.add((load, c, "null_change"))
+            if all(tops) and abs(max(tops[0]) / sum(tops[0]) - max(tops[1]) / sum(tops[1])) >= 0.15 - 1e-9:
+                want.add((load, c, "top_change"))
+    found = [tuple(r) for r in core_problems.p3_changes_all(spark, folder).collect()]
+    assert {x for x in found if x[2] in ("null_change", "top_change")} == want and {c for _, c, _ in want} - set(profile.RULES)
+    named = {(r.load_id, r.column_name, r.finding) for r in core_problems.p3_found(spark, folder).collect() if r.finding != "bad_value"}
+    assert {x for x in found if x[1] in profile.RULES} == named
+
+
 def raw_df(spark, files, stream=1):
     rows = []
     for fid, lines in files.items():
