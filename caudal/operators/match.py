@@ -5,7 +5,7 @@ Anchors are exits flagged as transfers. A candidate is another record of the sam
 
 The join runs on (subject, scope, day): an anchor's window touches few days, so a subject with very many records is spread
 over its days. Candidates equal in all that is compared are one candidate with its two smallest ids, so copies of a record
-never multiply (two, for an anchor may not match itself).
+never multiply (two, for an anchor may not match itself; of two facilities, where it may not match its own).
 """
 
 from __future__ import annotations
@@ -91,8 +91,12 @@ def judge(prepared: DataFrame, cfg: MatchConfig) -> DataFrame:
 
     day = lambda t: F.datediff(t, F.lit("1970-01-01").cast("date"))
     same = ["subject", "scope", "entered", "sex", "age", "icd", "chapter"]
+    cand = prepared.where((F.col("subject") != "") & F.col("entered").isNotNull())
+    if cfg.exclude_same_facility:
+        # an anchor sees no row of its own facility, so of two facilities one row each
+        cand = cand.groupBy(*same, "facility").agg(F.min("rid").alias("rid"))
     twins = Window.partitionBy(*same).orderBy("facility", "rid")
-    cand = prepared.where((F.col("subject") != "") & F.col("entered").isNotNull()).withColumn("_n", F.row_number().over(twins)).where("_n <= 2")
+    cand = cand.withColumn("_n", F.row_number().over(twins)).where("_n <= 2")
     cand = cand.select(
         F.col("subject").alias("c_subject"), F.col("scope").alias("c_scope"), day(F.col("entered")).alias("c_day"), F.col("rid").alias("c_rid"),
         F.col("entered").alias("c_entered"), F.col("sex").alias("c_sex"), F.col("age").alias("c_age"), F.col("icd").alias("c_icd"),

@@ -69,6 +69,13 @@ def test_match_ends_ties_and_copies(spark):
         match.prepare(spark.createDataFrame([], "a int"), [], match.MatchConfig())
 
 
+def test_match_past_repeated_lines_of_the_own_facility(spark):
+    rows = [anchor(), *[other("2021-01-03 08:00:00", fac="A")] * 3, other("2021-01-03 08:00:00", fac="B"), other("2021-01-03 08:00:00", fac="C")]
+    ev, rej = run(spark, rows, exclude_same_facility=True)
+    assert [e.target_location_id for e in ev] == ["B"] and rej == {}
+    assert [e.target_location_id for e in run(spark, rows)[0]] == ["A"]
+
+
 def test_match_scope(spark):
     rows = [("p", "1", "F", "5", "I5", "A", "2021-01-30", "2021-01-31", "01"), ("p", "0", "F", "5", "I5", "B", "2021-02-01", None, "02")]
     df = spark.createDataFrame(rows, "patient_id string, PA_TRANSF string, PA_SEXO string, PA_IDADE string, PA_CIDPRI string, PA_CODUNI string, DT_INTER string, DT_SAIDA string, m string")
