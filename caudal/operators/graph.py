@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,15 +135,24 @@ def select_edge_ends(edges: DataFrame, column: str, values: list) -> DataFrame:
 
 
 # --- components ----------------------------------------------------------------------------------------------------------
-def weak_components(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _rounds(most: int | None):
+    """Round after round until the caller is done; more than ``most`` raise, for a part of a result is none."""
+    for k in count():
+        if most is not None and k >= most:
+            raise RuntimeError(f"the components weren't complete after {most} rounds")
+        yield k
+
+
+def weak_components(vertices: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node_id, component): the smallest id that is connected, whatever the directions.
 
     Large-star and small-star steps by turns: every round links vertices to the smallest one they know, so the number of rounds
     grows with the logarithm of the diameter. A vertex with very many neighbours costs one partial minimum, not a group.
+    Goes on until the links are stable; with ``rounds`` given, raises if they aren't by then.
     """
     links = cut(edges.select(F.col(S).alias("a"), F.col(T).alias("b")).where("a != b").distinct())
     both = lambda df: df.unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    for _ in range(rounds):
+    for _ in _rounds(rounds):
         wide = both(links)
         least = wide.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = wide.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
@@ -158,11 +169,12 @@ def weak_components(vertices: DataFrame, edges: DataFrame, rounds: int = 60) ->
     return vertices.select("node_id").distinct().join(root, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
-def strong_components(vertices: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
+def strong_components(vertices: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node_id, component): the largest id among vertices that reach each other.
 
     Vertices without an edge in or out are their own component and are trimmed first, again and again. In what is left every
     vertex takes the largest id that reaches it; those that lead back to that id within its colour are its component.
+    Goes on until every vertex has one; with ``rounds`` given, raises if some haven't by then.
     """
     spark = vertices.sparkSession
     rest = cut(vertices.select("node_id").distinct())
@@ -172,7 +184,7 @@ def strong_components(vertices: DataFrame, edges: DataFrame, rounds: int = 200)
     def among(e: DataFrame, v: DataFrame) -> DataFrame:
         return e.join(v.select(F.col("node_id").alias("a")), "a", "left_semi").join(v.select(F.col("node_id").alias("b")), "b", "left_semi")
 
-    for _ in range(rounds):
+    for _ in _rounds(rounds):
         while True:
             alive = links.select(F.col("a").alias("node_id")).distinct().join(links.select(F.col("b").alias("node_id")).distinct(), "node_id")
             trimmed = cut(rest.join(alive, "node_id", "left_anti"))

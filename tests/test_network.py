@@ -238,6 +238,15 @@ def test_components_against_brute_force(spark):
     assert graph.weak_components(v.limit(0), e.limit(0)).count() == graph.strong_components(v.limit(0), e.limit(0)).count() == 0
 
 
+def test_components_are_whole_or_none(spark):
+    v, e = g(spark, [("c1", "c2", 1), ("c2", "c1", 1), ("c2", "b1", 1), ("b1", "b2", 1), ("b2", "b1", 1)])
+    with pytest.raises(RuntimeError):
+        graph.strong_components(v, e, rounds=1)
+    with pytest.raises(RuntimeError):
+        graph.weak_components(v, e, rounds=1)
+    assert {r.node_id: r.component for r in graph.strong_components(v, e).collect()} == {"b1": "b2", "b2": "b2", "c1": "c2", "c2": "c2"}
+
+
 def test_components_of_the_whole_graph(spark, folder):
     from caudal.plans import network
 
