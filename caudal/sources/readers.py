@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import normalize as nz
 from ..operators import roles
+from ..session import cut
 
 # What text files write for a missing value.
 NULL_TOKENS = (
@@ -37,12 +38,15 @@ def read_header(spark: SparkSession, path: str, sep: str = ";") -> list[str]:
     return [] if line is None else [c.strip().strip('"') for c in line[0].lstrip("﻿").split(sep)]
 
 
-def transfer_codes(book: DataFrame) -> list[str]:
-    """The code book's distinct non-blank codes that are transfers and validated (a few dozen at most)."""
+def transfer_codes(book: DataFrame, limit: int = 10_000) -> list[str]:
+    """The code book's distinct non-blank codes that are transfers and validated (a few dozen); more than ``limit`` raise."""
     if missing := {"code", "is_transfer", "validated"} - set(book.columns):
         raise ValueError(f"the code book lacks {', '.join(sorted(missing))}")
     ok = nz.truthy_code(F.col("is_transfer")) & nz.truthy_code(F.col("validated")) & (nz.text(F.col("code")) != "")
-    return sorted(r[0] for r in book.where(ok).select(nz.text(F.col("code"))).distinct().limit(10_000).collect())
+    codes = sorted(r[0] for r in book.where(ok).select(nz.text(F.col("code"))).distinct().limit(limit + 1).collect())
+    if len(codes) > limit:
+        raise ValueError(f"the code book has more than {limit} transfer codes")
+    return codes
 
 
 def read_projected(spark: SparkSession, path: str, with_linkage: bool = False) -> DataFrame:
@@ -99,14 +103,17 @@ def missing_keys(requested: DataFrame, cached: DataFrame, key: str) -> DataFrame
 def refresh_cache(requested: DataFrame, cached: DataFrame, key: str, fetch: Callable[[str], dict | None], limit: int = 10_000) -> DataFrame:
     """``cached`` plus what ``fetch`` gives for the requested keys it lacks. Entries that aren't requested stay.
 
-    Fetching goes through the driver, one request a key, so at most ``limit`` keys are asked for in one go.
+    Fetching goes through the driver, one request a key, in blocks of ``limit`` keys until every missing key was asked for once.
     """
     spark = requested.sparkSession
-    keys = [r[0] for r in missing_keys(requested, cached, key).orderBy(key).limit(limit).collect()]
-    rows = [r for k in keys if (r := fetch(k)) is not None]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in cached.schema.fields])
-    fresh = spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in rows], schema)
-    return cached.unionByName(fresh)
+    missing = cut(missing_keys(requested, cached, key))
+    out, rest = cached, missing
+    while keys := [r[0] for r in rest.orderBy(key).limit(limit).collect()]:
+        rows = [r for k in keys if (r := fetch(k)) is not None]
+        out = out.unionByName(cut(spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in rows], schema)))
+        rest = missing.where(F.col(key) > F.lit(keys[-1]))
+    return out
 
 
 def facility_record(payload: DataFrame) -> DataFrame:

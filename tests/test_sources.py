@@ -215,3 +215,15 @@ def test_streams(spark, tmp_path):
     q = live.profile_stream(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/rows"), f"{tmp_path}/store", ["c"]).option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.load_id, r.value or "", r.n) for r in live.read_store(spark, f"{tmp_path}/store").collect()) == [(1, "a", 2), (2, "", 1)]
+
+
+def test_no_key_and_no_code_is_left_out(spark):
+    cached = spark.createDataFrame([("02", "b")], "cnes string, name string")
+    asked = []
+    fetch = lambda k: asked.append(k) or (None if k == "01" else {"cnes": k, "name": "x"})
+    got = readers.refresh_cache(spark.createDataFrame([(f"{k:02d}",) for k in range(1, 6)], "cnes string"), cached, "cnes", fetch, limit=2)
+    assert sorted(r.cnes for r in got.collect()) == ["02", "03", "04", "05"] and asked == ["01", "03", "04", "05"]
+    book = spark.createDataFrame([(str(k), "1", "1") for k in range(3)], "code string, is_transfer string, validated string")
+    assert readers.transfer_codes(book, 3) == ["0", "1", "2"]
+    with pytest.raises(ValueError):
+        readers.transfer_codes(book, 2)
