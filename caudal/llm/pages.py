@@ -6,6 +6,7 @@ Pure Python on one page at a time, for use inside Arrow batches.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 #: Lines whose left edges lie further apart than this (in pixels of the boxes) belong to different columns.
 COLUMN_GAP = 150
@@ -19,7 +20,7 @@ _CLASSES = {"a": "ao0", "c": "ce", "i": "il1!|j", "u": "un", "t": "ft", "b": "bh
 _TO_PLAIN = {ord(x): k for k, xs in _PLAIN.items() for x in xs}
 _LOOK = {x: k for k, xs in _CLASSES.items() for x in xs}
 _KEPT = {c: _LOOK.get(c, c) for c in "abcdefghijklmnopqrstuvwxyz0123456789!|"} | {chr(a): _LOOK.get(p, p) for a, p in _TO_PLAIN.items()}
-#: Folding works on Latin-1 bytes, where a table look-up costs next to nothing; other characters become "?" and go.
+#: Texts of Latin-1 only are folded as bytes, where a table look-up costs next to nothing.
 _TABLE = bytes(ord(_KEPT.get(chr(i), "?")) for i in range(256))
 _DELETE = bytes(i for i in range(256) if chr(i) not in _KEPT)
 
@@ -67,10 +68,28 @@ def plain(text: str) -> str:
     return text.lower().translate(_TO_PLAIN)
 
 
+class _Any(dict):
+    """What becomes of any character: beyond Latin-1 the letters it is composed of, or itself if it is a letter or digit."""
+
+    def __missing__(self, code: int) -> str:
+        parts = unicodedata.normalize("NFKD", chr(code))
+        kept = "".join(_KEPT.get(c, c if ord(c) > 255 and c.isalnum() else "") for c in parts)
+        self[code] = kept
+        return kept
+
+
+_ANY = _Any({i: _KEPT.get(chr(i), "") for i in range(256)})
+
+
 def fold(text: str) -> str:
     """Letters and digits only, in classes of look-alikes: what survives most misreadings, lost spaces and line ends.
 
-    The same function is applied to both sides of a comparison, so that words it can't tell apart only cost sharpness.
+    The same function is applied to both sides of a comparison, so that words it can't tell apart only cost sharpness. Letters
+    of other scripts are kept as they are, without marks.
     """
-    s = text.lower().encode("latin-1", "replace").translate(_TABLE, _DELETE).decode("latin-1")
+    s = text.lower()
+    try:
+        s = s.encode("latin-1").translate(_TABLE, _DELETE).decode("latin-1")
+    except UnicodeEncodeError:
+        s = s.translate(_ANY)
     return s.replace("vv", "w").replace("ii", "b").replace("ru", "m")
