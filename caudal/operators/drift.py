@@ -1,25 +1,28 @@
 """Schemas that drift between the files of a stream.
 
 Each file gets a fingerprint: its field names with the usual writing of their values. A file whose fingerprint differs from
-the one before gets a new schema version and the migration steps that lead to it (added, removed, renamed, retyped). Lines
-are routed through the chained steps into one table: renames to a common name, missing fields as null, values cast to the
-common kind.
+the one before gets a new schema version and the migration steps that lead to it (added, removed, renamed, retyped); only such
+files are compared with the one before.
 
-Line data stays in Spark throughout; only field names, whose number is checked against ``MAX_FIELDS``, reach the driver.
+The steps of a stream are chained into routes: which of its fields is meant by a name in which files, so a name that comes back
+for something else is another field. Fields of several streams are one column if they share a name and a kind of content. Each
+file's lines are read by the routes of that file: renames to the column's name, missing fields as null, values cast to its kind.
+
+Line data stays in Spark throughout; of the schema only the columns of the result, whose number is checked, reach the driver.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from . import graph
 
 #: A field that goes and one that comes are the same when their contents are at least so alike (0 to 1).
 RENAME_LIKENESS = 0.6
-#: More distinct field names than this are no column layout any more.
+#: More columns than this are no layout any more.
 MAX_FIELDS = 5_000
 FILE = ["stream_id", "file_id"]
 
@@ -27,7 +30,7 @@ FILE = ["stream_id", "file_id"]
 def line_fields(raw: DataFrame, keep: list[str]) -> DataFrame:
     """One row per line and field: ``field``, ``is_number``, ``text`` (null for JSON null).
 
-    A payload that isn't a JSON object (null, empty, broken, an array) has no fields.
+    A payload that isn't a JSON object (null, empty, broken, an array) or names a field twice has no fields.
     """
     doc = F.try_parse_json(F.col("payload"))
     rows = raw.where(F.schema_of_variant(doc).startswith("OBJECT")).select(*keep, doc.alias("_doc"))
@@ -59,11 +62,11 @@ def writing(text: Column, is_number: Column) -> Column:
 
 
 def with_content(cells: DataFrame) -> DataFrame:
-    """Adds ``tokens``, what each value is whatever its writing: its shape (counted twice), its leading part roughly and finely.
+    """Adds ``tokens``, what each value is whatever its writing: its shape, its kind, its leading part roughly and finely.
 
     Numbers of up to three digits have the shape ``int`` and lead with their size, in steps of five and exactly; longer ones
-    have their number of digits and their first digit; decimals that they have a fraction; other texts letters and digits in
-    pattern. The steps are columns of their own, so that none is computed twice.
+    have their number of digits and their first digit; decimals that they have a fraction; other texts runs of letters and digits in
+    pattern, and their length. The steps are columns of their own, so that none is computed twice.
     """
     text, flat = F.col("text"), F.col("_flat")
     swap = F.regexp_replace(text, r"^(\d{2})/(\d{2})/(\d{4})$", "$3$2$1")  # the writing of a day doesn't matter here
@@ -71,17 +74,22 @@ def with_content(cells: DataFrame) -> DataFrame:
     fraction = (text.contains(".") | text.contains(",")) & text.rlike(r"^[-+]?\d+[.,]\d{1,2}$")
     staged = cells.withColumn("_iso", iso).withColumn("_flat", F.translate("_iso", "-./,", "")).withColumn("_digits", flat.rlike(r"^\d+$"))
     staged = staged.withColumn("_size", F.when(F.col("_digits"), F.length("_flat"))).withColumn("_small", F.when(F.col("_size") <= 3, flat.cast("int")))
-    pattern = F.substring(F.regexp_replace(F.regexp_replace(text, r"[0-9]", "9"), r"[^9\W]", "a"), 1, 12)
+    runs = F.regexp_replace(F.regexp_replace(text, r"[0-9]+", "9"), r"[^9\W]+", "a")
+    pattern = F.concat(F.when(F.length(runs) > 40, F.sha1(runs)).otherwise(runs), F.lit(":"), F.length(text))
     shape = F.when(fraction, "s:decimal").when(F.col("_small").isNotNull(), "s:int").when(F.col("_digits"), F.concat(F.lit("s:d"), "_size")).otherwise(F.concat(F.lit("s:"), pattern))
     first = F.substring("_iso", 1, 1)
     rough = F.concat(F.lit("l:"), F.coalesce(F.floor(F.col("_small") / 5).cast("string"), first))
     fine = F.concat(F.lit("x:"), F.coalesce(F.col("_small").cast("string"), first))
-    out = staged.withColumn("_shape", shape).withColumn("tokens", F.array(F.col("_shape"), F.col("_shape"), rough, fine))
+    day = F.when(F.col("_digits") & (F.col("_size") == 8) & flat.rlike("^(19|20)"), F.try_to_timestamp("_flat", F.lit("yyyyMMdd"))).isNotNull()
+    kind = F.when(day, "k:date").when(fraction, "k:decimal").when(F.col("is_number") | ~F.col("_digits"), "k:text").otherwise(F.concat(F.lit("k:"), F.col("_size").cast("string")))
+    out = staged.withColumn("_shape", shape).withColumn("tokens", F.array(F.col("_shape"), kind, rough, fine))
     return out.drop("_iso", "_flat", "_digits", "_size", "_small", "_shape")
 
 
 def cell_counts(raw: DataFrame) -> DataFrame:
-    """(stream_id, file_id, field, token, n): how often each writing (``w:``), shape (``s:``) and lead (``l:``, ``x:``) occurs.
+    """(stream_id, file_id, field, token, n): how often each writing (``w:``), shape (``s:``), lead (``l:``, ``x:``) and kind occurs.
+
+    Kinds (``k:``) are date, decimal, the number of digits of a string, or text.
 
     The one pass over the payloads; everything about a file's schema follows from these counts, a few rows a field. A field
     that only holds nulls has the one token ``w:`` with the count 0.
@@ -100,8 +108,9 @@ def file_fields(counts: DataFrame) -> DataFrame:
 
 
 def file_contents(counts: DataFrame) -> DataFrame:
-    """(stream_id, file_id, field, token, share) of the non-null values; the shares of a field add up to 1."""
-    tokens = counts.where(~F.col("token").startswith("w:"))
+    """(stream_id, file_id, field, token, share) of the non-null values, shapes twice; the shares of a field add up to 1."""
+    n = F.when(F.col("token").startswith("s:"), 2 * F.col("n")).otherwise(F.col("n"))
+    tokens = counts.where(F.substring("token", 1, 2).isin("s:", "l:", "x:")).withColumn("n", n)
     total = tokens.groupBy(*FILE, "field").agg(F.sum("n").alias("_all"))
     return tokens.join(total, [*FILE, "field"]).select(*FILE, "field", "token", (F.col("n") / F.col("_all")).alias("share"))
 
@@ -118,8 +127,9 @@ def schema_changes(raw: DataFrame, counts: DataFrame | None = None) -> DataFrame
     """
     counts = cut(cell_counts(raw)) if counts is None else counts
     now = cut(file_fields(counts))
-    files = now.select(*FILE).distinct()
-    paired = files.join(_next(files), FILE, "left_semi")
+    prints = schema_versions(counts, now).select(*FILE, "fingerprint")
+    # files of the same fingerprint as the one before have no changes
+    paired = cut(prints.join(_next(prints).withColumnRenamed("fingerprint", "_before"), FILE).where("fingerprint != _before").select(*FILE))
     before = _next(now).join(paired, FILE, "left_semi")
     after = now.join(paired, FILE, "left_semi")
     both = after.withColumnRenamed("usual_writing", "new_writing").join(
@@ -181,83 +191,152 @@ def _renames(counts: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
     return out
 
 
-def schema_versions(counts: DataFrame) -> DataFrame:
+def schema_versions(counts: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     """From ``cell_counts``: (stream_id, file_id, fingerprint, schema_version, n_fields): the version rises by 1 when the fingerprint changes."""
+    fields = file_fields(counts) if fields is None else fields
     layout = F.array_sort(F.collect_list(F.concat_ws("=", "field", F.coalesce("usual_writing", F.lit("null")))))
-    prints = file_fields(counts).groupBy(*FILE).agg(F.sha1(F.concat_ws("\n", layout)).alias("fingerprint"), F.count(F.lit(1)).alias("n_fields"))
+    prints = fields.groupBy(*FILE).agg(F.sha1(F.concat_ws("\n", layout)).alias("fingerprint"), F.count(F.lit(1)).alias("n_fields"))
     w = Window.partitionBy("stream_id").orderBy("file_id")
     changed = F.when(F.lag("fingerprint").over(w).eqNullSafe(F.col("fingerprint")), 0).otherwise(1)
     return prints.withColumn("_c", changed).withColumn("schema_version", F.sum("_c").over(w)).drop("_c")
 
 
-def common_names(counts: DataFrame, changes: DataFrame) -> dict[str, str]:
-    """Every field name with the common name it migrates to, by chaining the renames of all streams.
+def _walk(key: tuple, steps: pd.DataFrame) -> pd.DataFrame:
+    """The routes of one stream: its steps in the order of its files."""
+    spans: list[list] = []
+    live: dict[str, list] = {}
+    known: dict[str, str] = {}
+
+    def open_(name: str, lineage: str | None, file: int) -> None:
+        if lineage is None or any(s[1] == lineage for s in live.values()):
+            lineage = f"{name}@{file}"
+        known[name] = lineage
+        live[name] = [name, lineage, file, None]
+        spans.append(live[name])
+
+    def close(name: str, file: int) -> str | None:
+        if name not in live:
+            return None
+        span = live.pop(name)
+        span[3] = file
+        return span[1]
+
+    for file, of_file in steps.sort_values(["file_id", "kind", "field"]).groupby("file_id", sort=True):
+        rows = list(of_file[["kind", "field", "prior"]].itertuples(index=False, name=None))
+        if any(k == "start" for k, _, _ in rows):
+            for name in list(live):
+                close(name, file)
+        moved = {f: close(p, file) for k, f, p in rows if k == "renamed"}
+        for k, f, _ in rows:
+            if k == "removed":
+                close(f, file)
+        for f, lineage in moved.items():
+            open_(f, lineage, file)
+        for k, f, _ in rows:
+            if k in ("start", "added"):
+                open_(f, known.get(f), file)
+    return pd.DataFrame([(key[0], *s) for s in spans], columns=["stream_id", "field", "lineage", "from_file", "to_file"]).astype({"from_file": "int64", "to_file": "Int64"})
+
+
+def routes(counts: DataFrame, changes: DataFrame, fields: DataFrame) -> DataFrame:
+    """(stream_id, field, lineage, from_file, to_file): which field of a stream a name means, from a file up to before another.
+
+    The steps of each stream are chained on their own, a few rows a file that changed. A file without the one before it starts
+    anew: names known in the stream go on with what they meant.
+    """
+    files = fields.select(*FILE).distinct()
+    starts = fields.join(files.join(_next(files), FILE, "left_anti"), FILE, "left_semi")
+    steps = starts.select(*FILE, F.lit("start").alias("kind"), "field", F.lit("").alias("prior")).unionByName(
+        changes.where("change_kind != 'retyped'").select(*FILE, F.col("change_kind").alias("kind"), F.col("field_name").alias("field"), F.col("prior_name").alias("prior"))
+    )
+    typed = steps.select(F.col("stream_id").cast("long"), F.col("file_id").cast("long"), "kind", "field", "prior")
+    return typed.groupBy("stream_id").applyInPandas(_walk, "stream_id long, field string, lineage string, from_file long, to_file long")
 
-    Renames are applied from the most frequent on; one that would give two fields of the same file one name is left out.
-    Only names reach the driver; more than MAX_FIELDS of them raise.
+
+def layout(counts: DataFrame, changes: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """(stream_id, file_id, field, lineage, column) for every field of every file, and the kinds of the columns.
+
+    Lineages are one column if they share a name and a kind; where that would give two fields of a file one column, their
+    lineages keep to their own usual names instead, told apart by a number. A column is named after its most frequent name,
+    with its kind if another column has that name, too.
     """
-    fields = file_fields(counts)
-    uses = fields.groupBy("field").agg(F.count(F.lit(1)).alias("n")).orderBy("field").limit(MAX_FIELDS + 1).collect()
-    if len(uses) > MAX_FIELDS:
-        raise ValueError(f"more than {MAX_FIELDS} field names")
-    n = {r.field: r.n for r in uses}
-    layouts = (
-        fields.groupBy(*FILE).agg(F.array_sort(F.collect_set("field")).alias("fields")).select("fields").distinct()
-        .select(F.explode("fields").alias("a"), "fields").select("a", F.explode("fields").alias("b")).where("a < b").distinct().limit(MAX_FIELDS * MAX_FIELDS)
-    )
-    together: dict[str, set[str]] = defaultdict(set)
-    for r in layouts.toLocalIterator():
-        together[r.a].add(r.b)
-        together[r.b].add(r.a)
-    links = changes.where("change_kind = 'renamed'").groupBy("prior_name", "field_name").agg(F.count(F.lit(1)).alias("n")).collect()
-    group = {f: {f} for f in n}
-    for r in sorted(links, key=lambda r: (-r.n, r.prior_name, r.field_name)):
-        a, b = group[r.prior_name], group[r.field_name]
-        if a is b or any(together[x] & b for x in a):
-            continue
-        a |= b
-        for x in b:
-            group[x] = a
-    return {f: max(g, key=lambda x: (n[x], x)) for f, g in group.items()}
-
-
-def unified(raw: DataFrame, changes: DataFrame, keys: list[str], counts: DataFrame | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """All lines as one table: ``keys``, ``schema_version`` and one column per common name, cast to its kind.
+    fields = cut(file_fields(counts).select(*FILE, "field"))
+    spans = routes(counts, changes, fields)
+    inside = (F.col("file_id") >= F.col("from_file")) & (F.col("to_file").isNull() | (F.col("file_id") < F.col("to_file")))
+    placed = cut(fields.join(spans, ["stream_id", "field"]).where(inside).select(*FILE, "field", "lineage"))
+    of_kind = counts.where(F.col("token").startswith("k:") & (F.col("n") > 0)).join(placed, [*FILE, "field"]).groupBy("stream_id", "lineage", F.substring("token", 3, 20).alias("k")).agg(F.sum("n").alias("n"))
+    total, part = F.sum("n"), lambda k: F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0))
+    kinds = of_kind.groupBy("stream_id", "lineage").agg(F.when(2 * part("date") > total, "date").when(2 * part("decimal") > total, "double").otherwise("string").alias("kind"))
+    used = placed.groupBy("stream_id", "lineage", "field").agg(F.count(F.lit(1)).alias("n"))
+    own = used.groupBy("stream_id", "lineage").agg(F.max_by("field", F.struct("n", "field")).alias("own_name"))
+    # a field that only ever held nulls goes with whatever has its name
+    named = used.join(kinds, ["stream_id", "lineage"], "left").join(own, ["stream_id", "lineage"])
+    named = cut(named.withColumn("node", F.when(F.col("kind").isNotNull(), F.concat_ws(":", "kind", "field"))).withColumn("hub", F.concat_ws(":", "kind", "own_name")))
+    links = named.where("kind IS NOT NULL AND node != hub").select(F.col("node").alias(graph.S), F.col("hub").alias(graph.T)).distinct()
+    vertices = named.where("kind IS NOT NULL").select(F.col("node").alias("node_id"))
+    parts = graph.weak_components(vertices, links).withColumnRenamed("node_id", "hub")
+    grouped = named.where("node = hub OR kind IS NULL").join(parts, "hub", "left").select("stream_id", "lineage", "kind", "own_name", "component")
+    crowded = placed.join(grouped.where("component IS NOT NULL"), ["stream_id", "lineage"]).groupBy(*FILE, "component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component").distinct().withColumn("_crowded", F.lit(True))
+    nth = F.row_number().over(Window.partitionBy("stream_id", "kind", "own_name").orderBy("lineage"))
+    grouped = grouped.join(crowded, "component", "left").withColumn("nth", nth)
+    alone = F.concat_ws(":", F.lit("own"), "kind", "own_name", F.when(F.col("nth") > 1, F.col("nth").cast("string")))
+    grouped = cut(grouped.withColumn("group", F.when(F.col("_crowded"), alone).otherwise(F.col("component"))))
+    weights = used.join(grouped, ["stream_id", "lineage"]).where("group IS NOT NULL").groupBy("group", "kind", F.when(F.col("_crowded"), F.col("own_name")).otherwise(F.col("field")).alias("name"), F.when(F.col("_crowded"), F.col("nth")).otherwise(1).alias("nth")).agg(F.sum("n").alias("n"))
+    best = weights.groupBy("group", "kind").agg(F.max_by(F.struct("name", "nth"), F.struct("n", "name")).alias("_b"), F.sum("n").alias("n"))
+    order = Window.partitionBy("_b.name").orderBy(F.desc("n"), "group")
+    titled = best.withColumn("_r", F.row_number().over(order)).withColumn("column", F.when(F.col("_r") == 1, F.col("_b.name")).otherwise(F.concat_ws(":", "_b.name", "kind", F.when(F.col("_r") > 2, F.col("_r").cast("string")))))
+    titled = cut(titled.select("group", "kind", "column"))
+    rows = titled.select("column", "kind").limit(MAX_FIELDS + 1).collect()
+    if len(rows) > MAX_FIELDS:
+        raise ValueError(f"more than {MAX_FIELDS} columns")
+    of_lineage = grouped.where("group IS NOT NULL").select("stream_id", "lineage", "group").distinct().join(titled.select("group", "column"), "group").drop("group")
+    return placed.join(of_lineage, ["stream_id", "lineage"], "left"), {r.column: r.kind for r in rows}
+
+
+def unified(raw: DataFrame, changes: DataFrame, keys: list[str], counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """All lines as one table: ``keys``, ``schema_version``, one column per field, cast to its kind, and ``unread``; and the layout.
 
     The kinds are date (8 digits in any writing), decimal, and text; a number in a text column that usually holds strings of
     one width gets its lost leading zeros back. A value that doesn't fit its column's kind is null there and stays in
-    ``unread``. Repeated lines stay repeated.
+    ``unread`` as field=text. A payload that is no JSON object, or names a field twice, is in ``unread`` as it is; a null or
+    empty one leaves it empty. Repeated lines stay repeated. A column whose name is one of ``keys`` gets its kind appended.
     """
     counts = cut(cell_counts(raw)) if counts is None else counts
-    names = common_names(counts, changes)
-    versions = schema_versions(counts)
-    if not names:
-        return raw.join(versions.select(*FILE, "schema_version"), FILE, "left").select(*keys, "schema_version"), {}
-    to = F.create_map(*[F.lit(x) for kv in sorted(names.items()) for x in kv])
-    cells = line_fields(raw, keys).where(F.col("text").isNotNull()).withColumn("name", to[F.col("field")])
-    flat = F.regexp_replace("text", r"[-./]", "")
-    decimal = F.col("text").rlike(r"^[-+]?\d+[.,]\d{1,2}$")
-    iso = F.when(F.col("text").rlike(r"^\d{2}/\d{2}/\d{4}$"), F.regexp_replace("text", r"^(\d{2})/(\d{2})/(\d{4})$", "$3$2$1")).otherwise(flat)
-    day = F.when(iso.rlike(r"^(19|20)\d{6}$"), F.try_to_timestamp(iso, F.lit("yyyyMMdd")).cast("date"))
-    kinds = {
-        r.name: r
-        for r in cells.groupBy("name").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count(day).alias("days"),
-            F.count(F.when(decimal, 1)).alias("decimals"),
-            F.mode(F.when(~F.col("is_number") & flat.rlike(r"^\d+$"), F.length(flat)), True).alias("width"),
-        ).collect()
-    }
-    width = F.create_map(*[x for k, r in sorted(kinds.items()) for x in (F.lit(k), F.lit(r.width or 0))]) if kinds else None
-    padded = F.when(flat.rlike(r"^\d+$"), F.when(F.length(flat) < width[F.col("name")], F.lpad(flat, width[F.col("name")], "0")).otherwise(flat)).otherwise(F.col("text"))
-    typed = {k: "date" if 2 * r.days > r.n else "double" if 2 * r.decimals > r.n else "string" for k, r in kinds.items()}
-    kind = F.create_map(*[F.lit(x) for kv in sorted(typed.items()) for x in kv])[F.col("name")] if typed else F.lit("string")
-    value = F.when(F.col("_kind") == "date", day.cast("string")).when(F.col("_kind") == "double", F.regexp_replace("text", ",", ".").try_cast("double").cast("string")).otherwise(padded)
-    cells = cells.withColumn("_kind", kind)
-    lines = cells.withColumn("value", value).groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("name", "value")))).alias("_m"),
-        F.array_sort(F.collect_list(F.when(F.col("value").isNull(), F.concat_ws("=", "field", "text")))).alias("unread"),
-    )
-    out = raw.select(*keys).join(lines, keys, "left").join(versions.select(*FILE, "schema_version"), FILE, "left")
-    columns = [F.col("_m")[k].try_cast(t).alias(k) for k, t in sorted(typed.items())]
-    return out.select(*keys, "schema_version", *columns, F.coalesce("unread", F.array().cast("array<string>")).alias("unread")), names
+    placed, kinds = layout(counts, changes)
+    placed = cut(placed)
+    widths = counts.where(F.col("token").rlike(r"^k:\d+$")).join(placed.where("column IS NOT NULL"), [*FILE, "field"]).groupBy("column", F.substring("token", 3, 20).cast("int").alias("w")).agg(F.sum("n").alias("n"))
+    width = {r.column: r.w for r in widths.groupBy("column").agg(F.max_by("w", F.struct("n", "w")).alias("w")).collect()}  # one row a column
+    versions = schema_versions(counts).select(*FILE, "schema_version")
+    entry = F.struct(F.col("column").alias("key"), F.col("field").alias("value"))
+    per_file = placed.where("column IS NOT NULL").groupBy(*FILE).agg(F.map_from_entries(F.collect_list(entry)).alias("_route"))
+    per_file = cut(versions.join(per_file, FILE, "left"))
+    doc = F.try_parse_json(F.col("payload"))
+    lines = raw.select(*keys, *[c for c in FILE if c not in keys], "payload").withColumn("_doc", doc)
+    lines = lines.withColumn("_cells", F.when(F.schema_of_variant("_doc").startswith("OBJECT"), F.col("_doc").cast("map<string,string>")))
+    lines = lines.join(per_file, FILE, "left")
+    values, unread = [], [F.when(F.col("_cells").isNull() & (F.length(F.trim("payload")) > 0), F.col("payload"))]
+    taken = {c.lower() for c in (*keys, *FILE, "schema_version", "unread")}
+    stages: dict[str, Column] = {}
+    for k, (column, kind) in enumerate(sorted(kinds.items())):
+        field = F.try_element_at("_route", F.lit(column))
+        stages[f"_t{k}"] = F.try_element_at("_cells", field)
+        text = F.col(f"_t{k}")
+        flat = F.regexp_replace(text, r"[-./]", "")
+        if kind == "date":
+            iso = F.when(text.contains("/"), F.regexp_replace(text, r"^(\d{2})/(\d{2})/(\d{4})$", "$3$2$1")).otherwise(text)
+            iso = F.regexp_replace(iso, r"[-./]", "")
+            value = F.when(iso.rlike(r"^(19|20)\d{6}$"), F.try_to_timestamp(iso, F.lit("yyyyMMdd")).cast("date"))
+        elif kind == "double":
+            value = F.translate(text, ",", ".").try_cast("double")
+        else:
+            w = width.get(column) or 0
+            value = F.when(flat.rlike(r"^\d+$"), F.when(F.length(flat) < w, F.lpad(flat, w, "0")).otherwise(flat)).otherwise(text)
+        name = column
+        while name.lower() in taken:
+            name = f"{name}:{kind}"
+        taken.add(name.lower()) if name.lower() not in {c.lower() for c in kinds} else None
+        values.append(value.alias(name))
+        if kind != "string":
+            unread.append(F.when(text.isNotNull() & value.isNull(), F.concat_ws("=", field, text)))
+    wide = lines.withColumns(stages) if stages else lines
+    return wide.select(*keys, "schema_version", *values, F.array_sort(F.array_compact(F.array(*unread))).alias("unread")), placed

@@ -222,7 +222,23 @@ _FAC = "nullif(CASE WHEN regexp_full_match({v}, '[0-9]{{1,6}}') THEN lpad({v}, 7
 _SRC = _FAC.format(v="regexp_replace(trim(source_facility_id), '\\.0$', '')")
 _TGT = _FAC.format(v="regexp_replace(trim(target_location_id), '\\.0$', '')")
 
+_P4_VERSIONS = r"""
+WITH lines AS (SELECT stream_id, file_id, payload, unnest(json_keys(payload)) AS field FROM raw_records
+  WHERE json_valid(payload) AND json_type(payload) = 'OBJECT' AND len(json_keys(payload)) = len(list_distinct(json_keys(payload)))),
+cells AS (SELECT stream_id, file_id, field, json_type(payload, '$."' || field || '"') AS t, json_extract_string(payload, '$."' || field || '"') AS v FROM lines),
+w AS (SELECT stream_id, file_id, field, CASE WHEN t = 'NULL' THEN NULL WHEN t IN ('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT') THEN 'number'
+  WHEN regexp_full_match(v, '[0-9]+') THEN 'digits' WHEN regexp_full_match(v, '[-+]?[0-9]+\.[0-9]+') THEN 'decimal point'
+  WHEN regexp_full_match(v, '[-+]?[0-9]+,[0-9]+') THEN 'decimal comma' WHEN regexp_full_match(v, '[0-9]+(-[0-9]+)+') THEN 'dashes'
+  WHEN regexp_full_match(v, '[0-9]+(/[0-9]+)+') THEN 'slashes' WHEN regexp_full_match(v, '[0-9./,-]+') THEN 'punctuation' ELSE 'text' END AS w FROM cells),
+n AS (SELECT stream_id, file_id, field, w, count(w) AS n FROM w GROUP BY ALL),
+u AS (SELECT stream_id, file_id, field, w FROM n QUALIFY row_number() OVER (PARTITION BY stream_id, file_id, field ORDER BY n DESC, w DESC) = 1),
+p AS (SELECT stream_id, file_id, sha1(array_to_string(list_sort(list(field || '=' || coalesce(w, 'null'))), chr(10))) AS fingerprint, count(*) AS n_fields FROM u GROUP BY ALL),
+c AS (SELECT *, CASE WHEN lag(fingerprint) OVER (PARTITION BY stream_id ORDER BY file_id) IS NOT DISTINCT FROM fingerprint THEN 0 ELSE 1 END AS c FROM p)
+SELECT stream_id, file_id, fingerprint, n_fields, CAST(sum(c) OVER (PARTITION BY stream_id ORDER BY file_id) AS BIGINT) AS schema_version FROM c
+"""
+
 SQL = {
+    "p4_versions": _P4_VERSIONS,
     "p2_found": f"SELECT table_name, row_key, ref_column FROM ({_REFS}) r WHERE NOT {_ALIVE}",
     "p2_counts": f"SELECT table_name, cmpt, count(*) AS n_refs, count(*) FILTER (NOT {_ALIVE}) AS n_orphans FROM ({_REFS}) r GROUP BY 1, 2",
     "p3_found": _P3_FOUND,

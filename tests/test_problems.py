@@ -137,17 +137,53 @@ def test_drift_odd_inputs(spark):
     assert changes(spark, {1: [{"A": None}], 2: [{"A": "5"}, {"A": "5"}]}) == set()
 
 
+def columns_of(placed):
+    return {(r.stream_id, r.file_id, r.field): r.column for r in placed.collect()}
+
+
 def test_drift_unified(spark):
     a = [{"DT": f"202101{10 + i}", "V": 1.5 + i, "N": f"{i:03d}"} for i in range(10)]
     b = [{"DATE": f"1{i}/01/2021", "V": f"{1 + i},25", "N": i} for i in range(10)]
-    raw = raw_df(spark, {1: a, 2: b + [None]})
+    broken = [None, " ", "no json", '{"V": 1.5, "V": 2.5}', "[1]"]
+    raw = raw_df(spark, {1: a, 2: b + broken})
     ch = drift.schema_changes(raw)
-    out, names = drift.unified(raw, ch, ["raw_id", "stream_id", "file_id"])
-    assert names["DT"] == names["DATE"] and out.count() == 21
+    out, placed = drift.unified(raw, ch, ["raw_id", "stream_id", "file_id"])
+    names = columns_of(placed)
+    assert names[1, 1, "DT"] == names[1, 2, "DATE"] and out.count() == 25
     kinds = dict(out.dtypes)
-    assert kinds[names["DT"]] == "date" and kinds["V"] == "double"
+    assert kinds[names[1, 1, "DT"]] == "date" and kinds["V"] == "double"
     last = out.where("raw_id = 19").first()
-    assert str(last[names["DT"]]) == "2021-01-19" and last.V == 10.25 and last.N == "009" and last.schema_version == 2
+    assert str(last[names[1, 1, "DT"]]) == "2021-01-19" and last.V == 10.25 and last.N == "009" and last.schema_version == 2
+    # nothing that can't be read is lost
+    assert [r.unread for r in out.where("raw_id >= 20").orderBy("raw_id").collect()] == [[], [], ["no json"], ['{"V": 1.5, "V": 2.5}'], ["[1]"]]
+
+
+def test_streams_keep_their_own_names(spark):
+    day = lambda i: f"202101{10 + i:02d}"
+    one = raw_df(spark, {1: [{"A": day(i)} for i in range(9)], 2: [{"B": day(i)} for i in range(9)]})
+    two = raw_df(spark, {1: [{"B": f"remark {'abcdefghi'[i] * 3}"} for i in range(9)]}, stream=2)
+    raw = one.unionByName(two)
+    out, placed = drift.unified(raw, drift.schema_changes(raw), ["raw_id", "stream_id", "file_id"])
+    names = columns_of(placed)
+    assert names[1, 1, "A"] == names[1, 2, "B"] != names[2, 1, "B"]
+    assert all(r[names[2, 1, "B"]].startswith("remark") and not r.unread for r in out.where("stream_id = 2").collect())
+    assert all(r[names[1, 1, "A"]] for r in out.where("stream_id = 1").collect())
+
+
+def test_a_name_that_comes_back_for_something_else_is_another_field(spark):
+    day = lambda i: f"202101{10 + i:02d}"
+    files = {
+        1: [{"X": day(i)} for i in range(9)], 2: [{"Y": day(i)} for i in range(9)],
+        3: [{"Y": day(i), "X": f"2019-12-{10 + i}"} for i in range(9)], 4: [{"Y": f"{i}", "X": f"2019-12-{10 + i}"} for i in range(9)],
+    }
+    raw = raw_df(spark, files)
+    out, placed = drift.unified(raw, drift.schema_changes(raw), ["raw_id", "stream_id", "file_id"])
+    names = columns_of(placed)
+    assert names[1, 1, "X"] == names[1, 2, "Y"] == names[1, 3, "Y"] != names[1, 3, "X"]
+    both = out.where("file_id = 3").first()
+    assert str(both[names[1, 3, "X"]]).startswith("2019") and str(both[names[1, 3, "Y"]]).startswith("2021")
+    # what doesn't fit the kind of its column isn't lost
+    assert sorted(x for r in out.where("file_id = 4").collect() for x in r.unread) == [f"Y={i}" for i in range(9)]
 
 
 def test_skew_against_plain(spark):
