@@ -237,7 +237,21 @@ c AS (SELECT *, CASE WHEN lag(fingerprint) OVER (PARTITION BY stream_id ORDER BY
 SELECT stream_id, file_id, fingerprint, n_fields, CAST(sum(c) OVER (PARTITION BY stream_id ORDER BY file_id) AS BIGINT) AS schema_version FROM c
 """
 
+_P2_SNAPSHOTS = f"""
+WITH r AS (SELECT table_name, cmpt AS period, ref_key, loaded_at, date_trunc('month', loaded_at) AS month, NOT {_ALIVE} AS orphan FROM ({_REFS}) r),
+e AS (SELECT unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS month FROM r),
+k AS (SELECT ref_key, month, EXISTS (SELECT 1 FROM (SELECT {_ref_sql('node_id')} AS node_key, created_at, removed_at FROM nodes) n WHERE n.node_key = x.ref_key
+  AND n.created_at < x.month + INTERVAL 1 MONTH AND (n.removed_at IS NULL OR n.removed_at >= x.month + INTERVAL 1 MONTH) AND (n.removed_at IS NULL OR n.removed_at > n.created_at)) AS alive
+  FROM (SELECT DISTINCT ref_key, e.month FROM r, e) x),
+s AS (SELECT e.month AS epoch, r.table_name, r.period, r.month = e.month AS now, orphan, k.alive, coalesce(p.alive, false) AS was
+  FROM e JOIN r ON r.month <= e.month JOIN k ON k.ref_key = r.ref_key AND k.month = e.month LEFT JOIN k p ON p.ref_key = r.ref_key AND p.month = e.month - INTERVAL 1 MONTH)
+SELECT CAST(epoch + INTERVAL 1 MONTH AS TIMESTAMP) AS epoch, table_name, period, count(*) FILTER (NOT alive) AS n_waiting, count(*) FILTER (now AND orphan) AS n_opened,
+  count(*) FILTER (alive AND CASE WHEN now THEN orphan ELSE NOT was END) AS n_resolved, count(*) FILTER (NOT alive AND CASE WHEN now THEN NOT orphan ELSE was END) AS n_reopened
+FROM s GROUP BY 1, 2, 3
+"""
+
 SQL = {
+    "p2_snapshots": _P2_SNAPSHOTS,
     "p4_versions": _P4_VERSIONS,
     "p2_found": f"SELECT table_name, row_key, ref_column FROM ({_REFS}) r WHERE NOT {_ALIVE}",
     "p2_counts": f"SELECT table_name, cmpt, count(*) AS n_refs, count(*) FILTER (NOT {_ALIVE}) AS n_orphans FROM ({_REFS}) r GROUP BY 1, 2",

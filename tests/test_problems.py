@@ -41,13 +41,39 @@ def test_orphans_against_brute_force(spark):
             before = r.n_waiting
 
 
+def test_orphans_delivery_by_delivery(spark, monkeypatch):
+    """Many small deliveries end as one large delivery does, layers added up in between."""
+    monkeypatch.setattr(orphans, "MOST_LAYERS", 2)
+    rnd = random.Random(3)
+    day = lambda n: T0 + timedelta(days=rnd.randint(0, n))
+    parents = [(f"k{rnd.randint(0, 9)}", b := day(150), rnd.choice([None, b + timedelta(days=rnd.randint(1, 60))])) for _ in range(20)]
+    refs = refs_df(spark, [("t", i, "c", rnd.choice(["a", "b", None]), f"k{rnd.randint(0, 12)}", day(150)) for i in range(200)] + [("t", 900, "c", "a", "k1", None)])
+    lives = spark.createDataFrame(parents, "id string, born timestamp, gone timestamp")
+    whole = orphans.track_orphans(refs, lives, "id", "born", "gone")
+    tracker, events = orphans.OrphanTracker(spark), orphans.parent_events(lives, "id", "born", "gone")
+    found, snapshots, since = [], [], "0001-01-01"
+    for _, end in orphans.months("202101", "202105"):
+        part = refs.where(f"seen_at >= '{since}' AND seen_at < '{end}'" + (" OR seen_at IS NULL" if since == "0001-01-01" else ""))
+        f, s = tracker.advance(part, events.where(f"at >= '{since}' AND at < '{end}'"), [end])
+        found += f.collect()
+        snapshots += s.collect()
+        since = end
+    key = lambda rows: sorted(map(str, rows))
+    assert key(found) == key(whole[0].collect()) and 900 in {r.row_key for r in found}
+    assert key(snapshots) == key(whole[1].collect())
+    assert key(tracker.state().collect()) == key(whole[2].collect())
+    assert sum(r.n_waiting for r in whole[1].where("epoch = '2021-06-01'").collect()) == sum(r.n_refs for r in whole[2].collect() if r.waiting)
+
+
 def test_orphans_odd_inputs(spark):
     none = spark.createDataFrame([], "id string, born timestamp, gone timestamp")
     found, snapshots, state = orphans.track_orphans(refs_df(spark, []), none, "id", "born", "gone")
     assert found.count() == snapshots.count() == state.count() == 0
     odd = [("t", 1, "c", None, None, T0), ("t", 2, "c", "p", "", T0), ("t", 3, "c", "p", "k", None), ("t", 4, "c", "p", "k", T0), ("t", 4, "c", "p", "k", T0)]
-    found, _, _ = orphans.track_orphans(refs_df(spark, odd), none, "id", "born", "gone")
+    found, snapshots, state = orphans.track_orphans(refs_df(spark, odd), none, "id", "born", "gone")
     assert Counter(r.row_key for r in found.collect()) == {2: 1, 3: 1, 4: 2}
+    found, snapshots, state = orphans.track_orphans(refs_df(spark, odd[2:3]), none, "id", "born", "gone")
+    assert found.count() == 1 and snapshots.first().n_waiting == 1 and state.first().waiting
 
 
 def test_profile_and_signed_deltas(spark):
