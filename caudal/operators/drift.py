@@ -61,8 +61,8 @@ def writing(text: Column, is_number: Column) -> Column:
     )
 
 
-def with_content(cells: DataFrame) -> DataFrame:
-    """Adds ``tokens``, what each value is whatever its writing: its shape, its kind, its leading part roughly and finely.
+def with_content(cells: DataFrame, kinds: bool = False) -> DataFrame:
+    """Adds ``tokens``, what each value is whatever its writing: its shape, its kind if wanted, its leading part roughly and finely.
 
     Numbers of up to three digits have the shape ``int`` and lead with their size, in steps of five and exactly; longer ones
     have their number of digits and their first digit; decimals that they have a fraction; other texts runs of letters and digits in
@@ -82,20 +82,20 @@ def with_content(cells: DataFrame) -> DataFrame:
     fine = F.concat(F.lit("x:"), F.coalesce(F.col("_small").cast("string"), first))
     day = F.when(F.col("_digits") & (F.col("_size") == 8) & flat.rlike("^(19|20)"), F.try_to_timestamp("_flat", F.lit("yyyyMMdd"))).isNotNull()
     kind = F.when(day, "k:date").when(fraction, "k:decimal").when(F.col("is_number") | ~F.col("_digits"), "k:text").otherwise(F.concat(F.lit("k:"), F.col("_size").cast("string")))
-    out = staged.withColumn("_shape", shape).withColumn("tokens", F.array(F.col("_shape"), kind, rough, fine))
+    out = staged.withColumn("_shape", shape).withColumn("tokens", F.array(F.col("_shape"), *([kind] if kinds else []), rough, fine))
     return out.drop("_iso", "_flat", "_digits", "_size", "_small", "_shape")
 
 
-def cell_counts(raw: DataFrame) -> DataFrame:
+def cell_counts(raw: DataFrame, kinds: bool = False) -> DataFrame:
     """(stream_id, file_id, field, token, n): how often each writing (``w:``), shape (``s:``), lead (``l:``, ``x:``) and kind occurs.
 
-    Kinds (``k:``) are date, decimal, the number of digits of a string, or text.
+    Kinds (``k:``, which only ``unified`` needs) are date, decimal, the number of digits of a string, or text.
 
     The one pass over the payloads; everything about a file's schema follows from these counts, a few rows a field. A field
     that only holds nulls has the one token ``w:`` with the count 0.
     """
     text = F.col("text")
-    cells = with_content(line_fields(raw, FILE))
+    cells = with_content(line_fields(raw, FILE), kinds)
     usual = F.array(F.concat(F.lit("w:"), writing(text, F.col("is_number"))))
     tokens = F.when(text.isNull(), F.array(F.lit("w:"))).otherwise(F.concat(usual, "tokens"))
     return cells.select(*FILE, "field", "text", F.explode(tokens).alias("token")).groupBy(*FILE, "field", "token").agg(F.count("text").alias("n"))
@@ -300,8 +300,9 @@ def unified(raw: DataFrame, changes: DataFrame, keys: list[str], counts: DataFra
     one width gets its lost leading zeros back. A value that doesn't fit its column's kind is null there and stays in
     ``unread`` as field=text. A payload that is no JSON object, or names a field twice, is in ``unread`` as it is; a null or
     empty one leaves it empty. Repeated lines stay repeated. A column whose name is one of ``keys`` gets its kind appended.
+    ``counts``: ``cell_counts`` of ``raw`` with kinds, if they are there already.
     """
-    counts = cut(cell_counts(raw)) if counts is None else counts
+    counts = cut(cell_counts(raw, True)) if counts is None else counts
     placed, kinds = layout(counts, changes)
     placed = cut(placed)
     widths = counts.where(F.col("token").rlike(r"^k:\d+$")).join(placed.where("column IS NOT NULL"), [*FILE, "field"]).groupBy("column", F.substring("token", 3, 20).cast("int").alias("w")).agg(F.sum("n").alias("n"))

@@ -1,8 +1,9 @@
 """Column profiles derived from maintained value-count tables.
 
 The store holds one row per (load, column, value) with a signed count. A load is a delta of +1 per value; a correction or
-withdrawal is a delta with -1. All metrics (null rate, distinct values, range, malformed values, top share, entropy) are exact
-and come from the counts alone, never from a second pass over the rows.
+withdrawal is a delta with -1. A delivery appends its deltas and touches nothing else. All metrics (null rate, distinct values,
+range, malformed values, top share, entropy) are exact and come from the counts alone. Each distinct value is judged once; the
+rows that hold a malformed one are found by joining those values back.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fields
@@ -79,6 +80,38 @@ def apply_deltas(store: DataFrame | None, deltas: DataFrame) -> DataFrame:
     return both.where(F.col("n") != 0)
 
 
+class ValueStore:
+    """Value counts kept under a folder that all executors share, a table per column, a layer per delivery.
+
+    ``apply`` costs as much as its delivery; one that is applied again under its name replaces itself. ``compact`` adds the layers up.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+        self.deliveries: list[str] = []
+
+    def apply(self, deltas: DataFrame, delivery: str) -> None:
+        rows = deltas.select(*KEYS, "value", "n")
+        rows.sortWithinPartitions("column_name", "load_id").write.mode("overwrite").partitionBy("column_name").parquet(f"{self.path}/{delivery}")
+        if delivery not in self.deliveries:
+            self.deliveries.append(delivery)
+
+    def counts(self) -> DataFrame:
+        """(load_id, column_name, value, n) after all deliveries; values whose count became 0 are gone."""
+        schema = "load_id long, value string, n long, column_name string"
+        store = None
+        for d in self.deliveries:
+            layer = self.spark.read.schema(schema).parquet(f"{self.path}/{d}").select(*KEYS, "value", "n")
+            store = apply_deltas(store, layer)
+        return self.spark.createDataFrame([], schema).select(*KEYS, "value", "n") if store is None else store
+
+    def compact(self) -> None:
+        if len(self.deliveries) > 1:
+            name = f"{self.deliveries[-1]}-all"
+            self.counts().sortWithinPartitions("column_name", "load_id").write.mode("overwrite").partitionBy("column_name").parquet(f"{self.path}/{name}")
+            self.deliveries = [name]
+
+
 def _by_column(rules: dict[str, Rule], pick: Callable[[Rule], Column | None], default: Column) -> Column:
     out = None
     for name, rule in rules.items():
@@ -193,10 +226,10 @@ def load_changes(counts: DataFrame, rules: dict[str, Rule] | None = None) -> Dat
     return simple.unionByName(regional.select(*KEYS, F.lit("region_change").alias("finding")))
 
 
-def violations(rows: DataFrame, row_id: str, rules: dict[str, Rule] | None = None, load: str = "load_id") -> DataFrame:
-    """(load_id, column_name, row id) of each value that is neither blank nor well-formed."""
+def violations(counts: DataFrame, rows: DataFrame, row_id: str, rules: dict[str, Rule] | None = None, load: str = "load_id") -> DataFrame:
+    """(load_id, column_name, row id) of each row of ``rows`` with a value that ``counts`` has and that isn't well-formed."""
     rules = RULES if rules is None else rules
-    bad = [
-        F.when(~fields.is_blank(F.col(c)) & r.parsed(F.col(c)).isNull(), F.lit(c)) for c, r in rules.items()
-    ]
-    return rows.select(F.col(load).alias("load_id"), F.col(row_id), F.explode(F.array_compact(F.array(*bad))).alias("column_name"))
+    bad = judged(counts.where(F.col("column_name").isin(*rules) & F.col("value").isNotNull()), rules).where("NOT well").select(*KEYS, "value")
+    cells = unpivot(rows.select(F.col(load).alias("load_id"), row_id, *rules), list(rules), ["load_id", row_id])
+    cells = cells.withColumn("value", fields.trimmed(F.col("value"))).where(F.col("value").isNotNull())
+    return cells.join(bad, [*KEYS, "value"], "left_semi").select("load_id", row_id, "column_name")

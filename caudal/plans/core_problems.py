@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields
 from ..operators import drift, orphans, profile, skew
-from ..session import cut, table
+from ..session import cut, shared_folder, table
 
 
 # --- p2: references to records that do not exist -------------------------------------------------------------------------
@@ -58,38 +58,44 @@ P3_COLUMNS = (
 P3_ALL_COLUMNS = (*P3_COLUMNS, "arrived_at", "stay_id")
 
 
+def _stored(spark: SparkSession, rows: DataFrame, columns: list[str]) -> profile.ValueStore:
+    store = profile.ValueStore(spark, shared_folder(spark))
+    store.apply(profile.value_deltas(rows, columns), "first")
+    return store
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     stays = table(spark, d, "stays")
-    store = cut(profile.apply_deltas(None, profile.value_deltas(stays, list(profile.RULES))))
+    store = _stored(spark, stays, list(profile.RULES)).counts()
     changes = profile.load_changes(store).select("load_id", "column_name", "finding", F.lit(0).cast("long").alias("stay_id"))
-    bad = profile.violations(stays, "stay_id").select("load_id", "column_name", F.lit("bad_value").alias("finding"), "stay_id")
+    bad = profile.violations(store, stays, "stay_id").select("load_id", "column_name", F.lit("bad_value").alias("finding"), "stay_id")
     return bad.unionByName(changes)
 
 
 def p3_profile(spark: SparkSession, d: str) -> DataFrame:
     """Every load and column of stays, from value counts alone."""
-    return profile.load_profile(profile.value_deltas(table(spark, d, "stays"), list(P3_COLUMNS)))
+    return profile.load_profile(_stored(spark, table(spark, d, "stays"), list(P3_COLUMNS)).counts())
 
 
 def p3_profile_all(spark: SparkSession, d: str) -> DataFrame:
     """Every load and every column of stays, all by rules of their own, with ranges of what the values mean."""
-    return profile.full_profile(profile.value_deltas(table(spark, d, "stays"), list(P3_ALL_COLUMNS)))
+    return profile.full_profile(_stored(spark, table(spark, d, "stays"), list(P3_ALL_COLUMNS)).counts())
 
 
 def p3_changes_all(spark: SparkSession, d: str) -> DataFrame:
     """The loads in which any column of stays changed against the load before."""
-    store = cut(profile.value_deltas(table(spark, d, "stays"), list(P3_ALL_COLUMNS)))
-    return profile.load_changes(store, profile.ALL_RULES)
+    return profile.load_changes(_stored(spark, table(spark, d, "stays"), list(P3_ALL_COLUMNS)).counts(), profile.ALL_RULES)
 
 
 def p3_deltas(spark: SparkSession, d: str) -> DataFrame:
     """The profile of the table as it stands after all loads, then with the lines resent under a new stay_id taken back out."""
     stays = table(spark, d, "stays").withColumn("load_id", F.lit(0).cast("long"))
-    store = profile.value_deltas(stays, list(profile.RULES))
+    store = _stored(spark, stays, list(profile.RULES))
     number = fields.trimmed(F.col("n_aih"))
     first = stays.where(number.isNotNull()).groupBy(number.alias("_aih")).agg(F.min("stay_id").alias("_first"))
     resent = stays.join(first, number == F.col("_aih")).where(F.col("stay_id") != F.col("_first"))
-    return profile.load_profile(profile.apply_deltas(store, profile.value_deltas(resent, list(profile.RULES), sign=-1)))
+    store.apply(profile.value_deltas(resent, list(profile.RULES), sign=-1), "withdrawn")
+    return profile.load_profile(store.counts())
 
 
 # --- p4: drifting schemas ------------------------------------------------------------------------------------------------
@@ -99,7 +105,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_unified(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "raw_records")
-    counts = cut(drift.cell_counts(raw))
+    counts = cut(drift.cell_counts(raw, True))
     changes = cut(drift.schema_changes(raw, counts))
     return drift.unified(raw, changes, ["raw_id", "stream_id", "file_id", "family", "cmpt", "line_no"], counts)[0]
 

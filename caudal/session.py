@@ -45,11 +45,16 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     A written table keeps column pruning and pushed filters, which ``checkpoint()`` would lose. It lies under the application's
     own folder; ``clear_shared`` removes that. ``by``: a column of few values that later filters name, laid out as folders.
     """
-    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder of the application in the shared folder, for tables that are written step by step."""
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def _own_folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/caudal-{spark.sparkContext.applicationId}"
 

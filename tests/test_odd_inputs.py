@@ -14,10 +14,14 @@ def clashing(df):
     return df.withColumns({c: F.lit("clash") for c in CLASH if c not in df.columns})
 
 
+def violations(rows):
+    return profile.violations(profile.value_deltas(rows, list(profile.RULES)), rows, "stay_id")
+
+
 def test_clashing_columns(spark):
     rows = clashing(spark.createDataFrame([(1, "350000", "a", 1), (1, None, "a", 2)], "load_id long, munic_res string, k string, v long"))
     assert profile.load_profile(profile.value_deltas(rows, ["munic_res"])).first().n_blank == 1
-    assert profile.violations(clashing(spark.createDataFrame([(1, 7, "x", None, " ", "1")], "load_id long, stay_id long, munic_res string, nasc string, dt_inter string, cgc_hosp string")), "stay_id").count() == 2
+    assert violations(clashing(spark.createDataFrame([(1, 7, "x", None, " ", "1")], "load_id long, stay_id long, munic_res string, nasc string, dt_inter string, cgc_hosp string"))).count() == 2
     assert skew.salted_totals(rows, "k", "v", ["a"]).first().total == 3
     assert skew.salted_top(rows, "k", "munic_res", "v", 1, ["a"]).count() == 1
     raw = clashing(spark.createDataFrame([(1, 1, 1, '{"A": "x"}'), (2, 2, 1, '{"B": "20210101"}')], "raw_id long, file_id long, stream_id long, payload string").drop("field"))
@@ -37,7 +41,7 @@ def test_clashing_columns(spark):
 def test_long_and_empty_values(spark):
     long = "9" * 100_000
     rows = spark.createDataFrame([(1, 1, long, "", "x" * 100_000, "0" * 14), (1, 2, "", None, None, " ")], "load_id long, stay_id long, munic_res string, nasc string, dt_inter string, cgc_hosp string")
-    assert {(r.stay_id, r.column_name) for r in profile.violations(rows, "stay_id").collect()} == {(1, "munic_res"), (1, "dt_inter"), (1, "cgc_hosp")}
+    assert {(r.stay_id, r.column_name) for r in violations(rows).collect()} == {(1, "munic_res"), (1, "dt_inter"), (1, "cgc_hosp")}
     raw = spark.createDataFrame([(1, 1, 1, f'{{"A": "{long}"}}'), (2, 2, 1, f'{{"A": "{long}", "": ""}}')], "raw_id long, file_id long, stream_id long, payload string")
     assert {(r.change_kind, r.field_name) for r in drift.schema_changes(raw).collect()} == {("added", "")}
     df = spark.createDataFrame([("p", "1", "F", "5", "I" * 50_000, "A", "x", long)], "patient_id string, PA_TRANSF string, PA_SEXO string, PA_IDADE string, PA_CIDPRI string, PA_CODUNI string, DT_INTER string, DT_SAIDA string")

@@ -90,6 +90,21 @@ def test_profile_and_signed_deltas(spark):
     assert profile.load_profile(profile.value_deltas(df.limit(0), ["n"])).count() == 0
 
 
+def test_the_store_adds_deliveries_up(spark, tmp_path):
+    df = lambda rows: spark.createDataFrame(rows, "load_id long, k string")
+    store = profile.ValueStore(spark, str(tmp_path))
+    assert store.counts().count() == 0
+    first, second = df([(1, "a"), (1, "a"), (1, None)]), df([(2, "a"), (1, "b")])
+    for _ in range(2):  # a delivery that comes again counts once
+        store.apply(profile.value_deltas(first, ["k"]), "d1")
+    store.apply(profile.value_deltas(second, ["k"]), "d2")
+    store.apply(profile.value_deltas(df([(1, "a"), (1, "b")]), ["k"], sign=-1), "d3")
+    want = {(1, "a", 1), (1, None, 1), (2, "a", 1)}
+    assert {(r.load_id, r.value, r.n) for r in store.counts().collect()} == want
+    store.compact()
+    assert store.deliveries == ["d3-all"] and {(r.load_id, r.value, r.n) for r in store.counts().collect()} == want
+
+
 def test_profile_changes(spark):
     first = [(1, "350000")] * 8 + [(1, "360000")] * 2
     second = [(2, "4100000")] * 6 + [(2, None)] * 4
