@@ -13,6 +13,8 @@ Line data stays in Spark throughout; of the schema only the columns of the resul
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -221,8 +223,9 @@ def _walk(key: tuple, steps: pd.DataFrame) -> pd.DataFrame:
         span[3] = file
         return span[1]
 
-    for file, of_file in steps.sort_values(["file_id", "kind", "field"]).groupby("file_id", sort=True):
-        rows = list(of_file[["kind", "field", "prior"]].itertuples(index=False, name=None))
+    table = sorted(zip(steps["file_id"], steps["kind"], steps["field"], steps["prior"]))
+    for file, of_file in groupby(table, key=lambda r: r[0]):
+        rows = [r[1:] for r in of_file]
         if any(k == "start" for k, _, _ in rows):
             for name in list(live):
                 close(name, file)
@@ -297,7 +300,7 @@ def unified(raw: DataFrame, changes: DataFrame, keys: list[str], counts: DataFra
     """All lines as one table: ``keys``, ``schema_version``, one column per field, cast to its kind, and ``unread``; and the layout.
 
     The kinds are date (8 digits in any writing), decimal, and text; a number in a text column that usually holds strings of
-    one width gets its lost leading zeros back. A value that doesn't fit its column's kind is null there and stays in
+    one width gets its lost leading zeros back, and only its digits stay. A value that doesn't fit its column's kind is null there and stays in
     ``unread`` as field=text. A payload that is no JSON object, or names a field twice, is in ``unread`` as it is; a null or
     empty one leaves it empty. Repeated lines stay repeated. A column whose name is one of ``keys`` gets its kind appended.
     ``counts``: ``cell_counts`` of ``raw`` with kinds, if they are there already.
@@ -322,16 +325,16 @@ def unified(raw: DataFrame, changes: DataFrame, keys: list[str], counts: DataFra
         field = F.try_element_at("_route", F.lit(column))
         stages[f"_t{k}"] = F.try_element_at("_cells", field)
         text = F.col(f"_t{k}")
-        flat = F.regexp_replace(text, r"[-./]", "")
+        flat = F.translate(text, "-./", "")
         if kind == "date":
             iso = F.when(text.contains("/"), F.regexp_replace(text, r"^(\d{2})/(\d{2})/(\d{4})$", "$3$2$1")).otherwise(text)
-            iso = F.regexp_replace(iso, r"[-./]", "")
+            iso = F.translate(iso, "-./", "")
             value = F.when(iso.rlike(r"^(19|20)\d{6}$"), F.try_to_timestamp(iso, F.lit("yyyyMMdd")).cast("date"))
         elif kind == "double":
             value = F.translate(text, ",", ".").try_cast("double")
         else:
             w = width.get(column) or 0
-            value = F.when(flat.rlike(r"^\d+$"), F.when(F.length(flat) < w, F.lpad(flat, w, "0")).otherwise(flat)).otherwise(text)
+            value = F.when(flat.rlike(r"^\d+$"), F.when(F.length(flat) < w, F.lpad(flat, w, "0")).otherwise(flat)).otherwise(text) if w else text
         name = column
         while name.lower() in taken:
             name = f"{name}:{kind}"
