@@ -1,9 +1,11 @@
 """Scores for abusive, hateful and sexual content, learned from raters' marks.
 
-Training, on a bounded sample of marked pages: words and word pairs in folded spelling are the features; a chain of linear
-models predicts the categories one after the other, each later one also given the earlier categories' probabilities. Those
-come from models that haven't seen the page (out-of-fold), so that a later model doesn't trust them too much. Thresholds are
-those of the best F0.5 of the out-of-fold scores.
+Training, on a bounded sample of pages: words and word pairs in folded spelling are the features; a chain of linear models
+predicts the categories one after the other, each later one also given the earlier categories' probabilities. Those come from
+models that haven't seen the page (out-of-fold), so that a later model doesn't trust them too much. Where marks are few, the
+sample is filled up with unmarked pages: what the chain takes for a hit among them counts as marked in the next round, which
+teaches it the words that go with the marked ones. Thresholds are those of the best F0.5 of the out-of-fold scores of the marked
+pages, where most pages beyond the threshold are marked; a category whose scores don't allow that has no hits.
 
 Scoring, on all pages: a few sentences make a page abusive, so a page scores as its worst stretch of ``WINDOW`` words. The
 whole text is read.
@@ -25,11 +27,15 @@ from ..session import cut
 from . import pages
 
 CATEGORIES = ("abusive", "hateful", "sexual")
-#: The sample: at most so many marked pages, and of these so many characters, taken in the order of a hash of their ids.
-MAX_MARKED, MAX_CHARS = 8_000, 64_000_000
+#: The sample: at most so many pages and characters, marked pages first, each in the order of a hash of their ids.
+MAX_PAGES, MAX_CHARS = 8_000, 64_000_000
+#: At most so many of them are unmarked, and so often they are labelled anew.
+MAX_UNMARKED, ROUNDS = 7_000, 1
 WINDOW = 14
 LEAST_PAGES, MOST_PAGES = 2, 0.15
 FOLDS, STEPS, L2, SCALE = 4, 45, 1.0, 0.3
+#: Least part of the marked pages beyond a threshold that must be marked with the category, reckoned with so many more pages of the average.
+LEAST_PRECISION, DOUBT = 0.5, 2.0
 
 _SPACED = re.compile(r"(?<!\w)(?:\w ){3,}\w(?!\w)")
 _REPEATED = re.compile(r"([^\W\d])\1{2,}")
@@ -120,9 +126,22 @@ def fit(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, earlier: np.ndarr
 
 
 class Chain:
-    """The fitted chain: features, one model per category, and a threshold each."""
-
-    def __init__(self, pages_words: list[list[str]], marks: np.ndarray) -> None:
+    """The fitted chain: features, one model per category, and a threshold each. ``unmarked`` are pages without marks."""
+
+    def __init__(self, marked: list[list[str]], marks: np.ndarray, unmarked: list[list[str]] | None = None) -> None:
+        n = len(marked)
+        unmarked = unmarked or []
+        self._fit(marked, marks.astype(float), n)
+        if unmarked and n:
+            every = marked + unmarked
+            for _ in range(ROUNDS):
+                p = self.score(unmarked)
+                labels = np.vstack([marks, p >= np.array(self.thresholds)]).astype(float)
+                if not labels[n:].any():
+                    break
+                self._fit(every, labels, n)
+
+    def _fit(self, pages_words: list[list[str]], marks: np.ndarray, n_marked: int) -> None:
         n = len(pages_words)
         self.features = Features(pages_words)
         flat = self.features.flat(pages_words)
@@ -132,16 +151,17 @@ class Chain:
         fold = np.arange(n) % FOLDS
         self.models: list[Linear] = []
         self.thresholds: list[float] = []
-        self.out_of_fold = np.zeros((n, marks.shape[1]))
+        out_of_fold = np.zeros((n, marks.shape[1]))
         for c in range(marks.shape[1]):
-            y, earlier = marks[:, c].astype(float), self.out_of_fold[:, :c]
+            y, earlier = marks[:, c], out_of_fold[:, :c]
             z = np.zeros(n)
             for k in range(FOLDS):
                 m = fit(rows, cols, self.features.value, earlier, y, (fold != k).astype(float))
                 z = np.where(fold == k, worst_windows(n, flat, m.weight) + earlier @ m.earlier + m.bias, z)
-            self.out_of_fold[:, c] = _sigmoid(z)
+            out_of_fold[:, c] = _sigmoid(z)
             self.models.append(fit(rows, cols, self.features.value, earlier, y, np.ones(n)))
-            self.thresholds.append(best_threshold(self.out_of_fold[:, c], y))
+            self.thresholds.append(best_threshold(out_of_fold[:n_marked, c], y[:n_marked]))
+        self.out_of_fold = out_of_fold[:n_marked]
 
     def score(self, pages_words: list[list[str]]) -> np.ndarray:
         n = len(pages_words)
@@ -153,17 +173,20 @@ class Chain:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The score from which F0.5 is best, midway to the next lower one; above 1 if nothing is marked.
+    """The score from which F0.5 is best, midway to the next lower one; above 1 if none has LEAST_PRECISION.
 
-    Wrong marks hide how much is found, not how much of it is right, so precision weighs more; and no more pages are taken than
-    are marked, so that a model of few marks, which can't tell pages apart, doesn't take most of them.
+    Wrong marks hide how much is found, not how much of it is right, so precision weighs more. It is reckoned as if DOUBT pages of
+    the average were among the hits, so that a lucky first page doesn't make a threshold.
     """
     if not y.sum():
         return 1.1
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    f_half = 1.25 * hits / (np.arange(1, len(y) + 1) + 0.25 * y.sum())
-    j = int(f_half[: max(1, int(y.sum()))].argmax())
+    hits, n = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    precision, recall = (hits + DOUBT * y.mean()) / (n + DOUBT), hits / y.sum()
+    f_half = np.where(precision >= LEAST_PRECISION, 1.25 * precision * recall / (0.25 * precision + recall + 1e-12), 0.0)
+    j = int(f_half.argmax())
+    if f_half[j] <= 0:
+        return 1.1
     return float((p[order[j]] + (p[order[j + 1]] if j + 1 < len(y) else 0.0)) / 2)
 
 
@@ -174,19 +197,26 @@ def _edges(edges: str | None):
 def train(docs: DataFrame, marks: DataFrame, text: str = "text", edges: str | None = "line_boxes") -> Chain:
     """``marks`` has doc_id and a 0/1 column per category; several marks of a page are averaged (half counts as 1), null is 0."""
     many = marks.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[(F.avg(F.coalesce(c, F.lit(0))) >= 0.5).cast("int").alias(c) for c in CATEGORIES])
-    some = cut(many.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_MARKED))
-    texts = docs.select("doc_id", F.col(text).alias("t"), _edges(edges).alias("e"))
-    rows = texts.join(some, "doc_id").dropDuplicates(["doc_id"])
-    rows = cut(rows.withColumn("_o", F.xxhash64("doc_id")))
-    fits, total = [], 0
-    for r in rows.select("_o", "doc_id", F.coalesce(F.length("t"), F.lit(0)).alias("n")).orderBy("_o", "doc_id").collect():  # at most MAX_MARKED rows
+    some = many.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_PAGES)
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.col(text).alias("t"), _edges(edges).alias("e"))
+    marked = cut(texts.join(some, "doc_id").dropDuplicates(["doc_id"]))
+    free = max(0, min(MAX_UNMARKED, MAX_PAGES - marked.count()))
+    # a top list of hashes: each task keeps its first ``free`` ids
+    others = docs.select("doc_id").where(F.col("doc_id").isNotNull()).join(marked.select("doc_id"), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(free) if free else many.select("doc_id").limit(0)
+    filled = texts.join(others, "doc_id").dropDuplicates(["doc_id"]).select("*", *[F.lit(None).cast("int").alias(c) for c in CATEGORIES])
+    rows = cut(marked.unionByName(filled).withColumn("_m", F.col(CATEGORIES[0]).isNull().cast("int")).withColumn("_o", F.xxhash64("doc_id")))
+    n, total = 0, 0
+    order = ["_m", "_o", "doc_id"]
+    for r in rows.select(*order, F.coalesce(F.length("t"), F.lit(0)).alias("n")).orderBy(*order).collect():  # at most MAX_PAGES rows
         total += r.n
         if total > MAX_CHARS:
             break
-        fits.append(r._o)
-    kept = rows.where(F.col("_o") <= fits[-1]).orderBy("_o", "doc_id") if fits else rows.limit(0)
-    taken = kept.toPandas()
-    return Chain([words(t, e) for t, e in zip(taken["t"], taken["e"])], taken[list(CATEGORIES)].to_numpy(dtype=float).reshape(len(taken), len(CATEGORIES)))
+        n += 1
+    taken = rows.orderBy(*order).limit(n).toPandas()
+    read = [words(t, e) for t, e in zip(taken["t"], taken["e"])]
+    n_marked = int((taken["_m"] == 0).sum())
+    marks = taken[list(CATEGORIES)].head(n_marked).to_numpy(dtype=float).reshape(n_marked, len(CATEGORIES))
+    return Chain(read[:n_marked], marks, read[n_marked:])
 
 
 def score(docs: DataFrame, chain: Chain, keep: list[str], text: str = "text", edges: str | None = "line_boxes") -> DataFrame:

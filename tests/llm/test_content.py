@@ -44,6 +44,30 @@ def test_held_out_accuracy(spark, pages_):
         assert len(said & found) >= 0.9 * len(said) and len(found - said) <= 3
 
 
+def test_few_marks(spark, pages_):
+    """Unmarked pages help where marks are few; with next to none nothing is taken for a hit."""
+    docs, marks = frames(spark, pages_, wrong=0.0)
+    chain = content.train(docs, marks.where("doc_id < 150"))
+    got = content.score(docs.where("doc_id >= 150"), chain, ["doc_id"]).collect()
+    for c in content.CATEGORIES:
+        said = {i for i, _, _, k in pages_ if c in k}
+        found = {r.doc_id for r in got if r[f"is_{c}"]}
+        assert len(found & said) >= 0.7 * len([i for i in said if i >= 150]) and len(found - said) <= 5
+    rnd = random.Random(8)
+    noise = spark.createDataFrame([(i, *[int(rnd.random() < 0.05) for _ in content.CATEGORIES]) for i in range(60)], marks.schema)
+    got = content.score(docs, content.train(docs, noise), ["doc_id"]).collect()
+    assert sum(r[f"is_{c}"] for r in got for c in content.CATEGORIES) <= 0.1 * len(got)
+
+
+def test_best_threshold():
+    rnd = np.random.default_rng(2)
+    y = np.concatenate([np.ones(40), np.zeros(400)])
+    good = np.where(y > 0, 0.8, 0.1) + rnd.uniform(-0.05, 0.05, 440)
+    assert 0.15 < content.best_threshold(good, y) < 0.76
+    assert content.best_threshold(rnd.uniform(0, 1, 440), y) > 0.9
+    assert content.best_threshold(good, 0 * y) > 1
+
+
 def test_odd_pages(spark, pages_):
     docs, marks = frames(spark, pages_[:120])
     marks = marks.unionByName(marks.limit(5)).unionByName(spark.createDataFrame([(None, 1, 1, 1), (9999, 1, None, 0), (3, None, None, None)], marks.schema))
