@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-BUCKETS = 4096
+#: Buckets hold about so many pages of all sources together, and there are at least so many of them: one bucket a source is cut
+#: page by page, in one task.
+PAGES_A_BUCKET, BUCKETS = 100_000, 4096
 SEED = 20211231
 #: Texts are encoded in pieces of about this many characters, cut where the pattern must cut anyway.
 PIECE = 20_000
@@ -113,7 +115,10 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: i
     """
     spark = docs.sparkSession
     named = targets.where(F.col("source_name").isNotNull()).groupBy("source_name").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap"))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(BUCKETS)).cast("int")
+    buckets, n_docs = BUCKETS, docs.count()
+    while buckets * PAGES_A_BUCKET < n_docs:
+        buckets *= 2
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(buckets)).cast("int")
     pages = docs.select("doc_id", "source", "n_tokens").join(named.select(F.col("source_name").alias("source")), "source", "left_semi").withColumn("bucket", bucket)
     sums = cut(pages.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")))
     have = sums.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("n_docs").alias("n_docs"))

@@ -49,8 +49,12 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- p8: mixing sources --------------------------------------------------------------------------------------------------
-def _p8(spark: SparkSession, d: str, total: str | None = None) -> tuple[DataFrame, DataFrame]:
-    docs = cut(mixture.count_tokens(table(spark, d, "documents"), ["doc_id", "source"]))
+def _p8(spark: SparkSession, d: str, total: str | None = None, size: str = "tokens") -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents")
+    if size == "tokens":
+        docs = cut(mixture.count_tokens(docs, ["doc_id", "source"]))
+    else:
+        docs = docs.select("doc_id", "source", F.col(size).alias("n_tokens"))
     amount = docs.agg(F.sum("n_tokens")).first()[0] if total == "corpus" else None
     return mixture.mix(docs, table(spark, d, "mix_targets"), amount)
 
@@ -65,11 +69,22 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _p8(spark, d)[1]
 
 
+def p8_mix_corpus_size(spark: SparkSession, d: str) -> DataFrame:
+    """Every page that is used, and how often, when as many tokens as the corpus has are asked for: small sources stop at their
+    cap, and the others take what those lack."""
+    return _p8(spark, d, "corpus")[0]
+
+
 def p8_shares_corpus_size(spark: SparkSession, d: str) -> DataFrame:
-    """The shares reached when as many tokens as the corpus has are asked for: small sources stop at their cap."""
+    """The shares reached by p8_mix_corpus_size."""
     return _p8(spark, d, "corpus")[1]
 
 
+def p8_plan_by_length(spark: SparkSession, d: str) -> DataFrame:
+    """What the water-filling gives each source at the size of the corpus, sizes in characters, which SQL can follow."""
+    return _p8(spark, d, "corpus", "n_chars")[1].select("source", "target_share", "max_repeats", "n_docs", "available_tokens", "planned_tokens")
+
+
 # --- p9: abusive, hateful and sexual content -----------------------------------------------------------------------------
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
@@ -88,5 +103,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return p9_scores(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), *rates, *means)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p6_found, p6_links, p7_found, p7_leaks, p7_items, p8_mix, p8_shares, p8_shares_corpus_size, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_nearest, p6_found, p6_links, p7_found, p7_leaks, p7_items, p8_mix, p8_shares, p8_mix_corpus_size, p8_shares_corpus_size, p8_plan_by_length, p9_found, p9_scores, p9_rates)}
 from .sql import SQL  # noqa: E402, F401

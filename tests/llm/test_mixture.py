@@ -37,6 +37,25 @@ def test_mix(spark):
     assert mixture.mix(df.limit(0), targets)[0].count() == 0 and mixture.mix(df, targets.limit(0))[1].count() == 0
 
 
+def test_redistribution_in_two_rounds(spark):
+    """c is full at once; what it lacks fills b, too, and a takes the rest."""
+    sources = [mixture.Source("a", 10_000, 0.4, 2), mixture.Source("b", 3_200, 0.3, 1), mixture.Source("c", 100, 0.3, 2)]
+    assert mixture.water_fill(sources, 10_000) == {"a": 6600.0, "b": 3200.0, "c": 200.0}
+    docs = spark.createDataFrame([(i, s, 10) for i, s in enumerate("a" * 1000 + "b" * 320 + "c" * 10)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([(s.name, s.share, s.max_repeats) for s in sources], "source_name string, target_share double, max_repeats int")
+    selection, report = mixture.mix(docs, targets, total=10_000)
+    assert {r.source: (r.planned_tokens, r.used_tokens, r.most_repeats) for r in report.collect()} == {"a": (6600, 6600, 1), "b": (3200, 3200, 1), "c": (200, 200, 2)}
+    assert selection.count() == 660 + 320 + 10
+
+
+def test_many_buckets(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a", 10) for i in range(3000)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 1.0, 3)], "source_name string, target_share double, max_repeats int")
+    monkeypatch.setattr(mixture, "BUCKETS", 2)
+    monkeypatch.setattr(mixture, "PAGES_A_BUCKET", 10)
+    assert mixture.mix(docs, targets, total=45_000)[1].first().used_tokens == 45_000
+
+
 def test_tokens_are_exact_in_pieces(spark, monkeypatch):
     text = "A câmara  de Vila, 123 casas!\n\n  foo bar\tbaz  qux it's " * 400
     enc = mixture._encoder(mixture.TOKENIZER)
