@@ -6,8 +6,9 @@ right point within the width is final. Points without one go to the next ring, w
 tolerance itself.
 
 Left rows with the same entity and moment are one point, right rows likewise (the smaller id stands for them), so copies
-never multiply; a dense entity is settled in the fine rings, where a bucket can hold no more distinct moments than its width
-has seconds. Every join key holds the bucket, which spreads a hot entity over time.
+never multiply. The rings begin so fine that no bucket holds more than ``MOST`` right points of an entity (or a microsecond), so
+a dense entity, however many rows it has, is settled bucket by bucket. Every join key holds the bucket, which spreads a hot
+entity over time.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 RINGS = 6
+#: Right points of an entity that the buckets of the first ring may hold.
+MOST = 2_000
 
 
 def micros(moment: Column) -> Column:
@@ -26,6 +29,17 @@ def micros(moment: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", epoch, moment.cast("timestamp_ntz"))
 
 
+def _rings(targets: DataFrame, entity: list[str], tolerance: int, rings: int) -> int:
+    """So many rings that the first one's buckets aren't too full."""
+    while (width := -(-tolerance // 2 ** (rings - 1))) > 1:
+        per = targets.groupBy(*entity, F.floor(F.col("t") / F.lit(width))).agg(F.count(F.lit(1)).alias("n"))
+        most = per.agg(F.max("n")).first()[0] or 0
+        if most <= MOST:
+            break
+        rings += max(1, (int(most) // MOST).bit_length())
+    return rings
+
+
 def nearest_within(left: DataFrame, right: DataFrame, entity: list[str], tolerance: int, rings: int = RINGS) -> DataFrame:
     """``left`` (left_id, t, entity columns) and ``right`` (right_id, t, entity columns), ``t`` and ``tolerance`` in microseconds.
 
@@ -39,6 +53,7 @@ def nearest_within(left: DataFrame, right: DataFrame, entity: list[str], toleran
     points = cut(left.select(*whole).distinct())
     keys = points.select(*entity).distinct()
     targets = cut(usable(right.select("right_id", *whole)).join(keys, entity, "left_semi").groupBy(*whole).agg(F.min("right_id").alias("right_id")))
+    rings = _rings(targets, entity, tolerance, rings)
     settled: list[DataFrame] = []
     for k in range(rings):
         width = max(1, -(-tolerance // 2 ** (rings - 1 - k)))

@@ -39,3 +39,17 @@ def test_ends_ties_and_copies(spark):
 def test_empty_sides(spark):
     row = [(1, 1, "a", "")]
     assert run(spark, [], row, 5) == run(spark, row, [], 5) == run(spark, [], [], 5) == []
+
+
+def test_a_dense_entity_starts_with_finer_rings(spark, monkeypatch):
+    rnd = random.Random(9)
+    left = [(i, "a", rnd.randrange(2_000_000)) for i in range(300)]
+    right = [(i, "a", rnd.randrange(2_000_000)) for i in range(3000)]
+    monkeypatch.setattr(nearest, "MOST", 20)
+    l, r = spark.createDataFrame(left, "left_id long, who string, t long"), spark.createDataFrame(right, "right_id long, who string, t long")
+    points = r.dropDuplicates(["who", "t"])
+    rings = nearest._rings(points, ["who"], 1_000_000, 6)
+    assert rings > 6
+    got = {x.left_id: (x.right_id, x.distance) for x in nearest.nearest_within(l, r, ["who"], 1_000_000).collect()}
+    want = {i: min((abs(t - u), j) for j, _, u in right) for i, _, t in left}
+    assert got == {i: (j, d) for i, (d, j) in want.items()}
