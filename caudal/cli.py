@@ -17,11 +17,13 @@ from .session import build_session
 from .sources import dbf, readers, sinks
 
 
-def _table(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
+def _table(spark: SparkSession, path: str, sep: str = ";", file_column: str | None = None) -> DataFrame:
     """Parquet, dBASE or delimited text, by suffix or content of the folder."""
-    if path.lower().endswith((".dbf", ".dbc")):
+    inside = os.listdir(path) if os.path.isdir(path) else []
+    if path.lower().endswith((".dbf", ".dbc")) or any(f.lower().endswith((".dbf", ".dbc")) for f in inside):
         spark.dataSource.register(dbf.DbfSource)
-        return spark.read.format("dbf").load(path)
+        reader = spark.read.format("dbf")
+        return (reader.option("file_column", file_column) if file_column else reader).load(path)
     if path.endswith(".parquet") or (os.path.isdir(path) and not any(f.endswith(".csv") for f in os.listdir(path))):
         return spark.read.parquet(path)
     return readers.read_csv(spark, path, sep)
@@ -87,6 +89,23 @@ def batch(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def year(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Monthly artifacts and the year's graph; --graph-only takes stored months, --skip-graph ends before the graph."""
+    months = sorted(manifest.numbers(a.months, 1, 12, "months", lenient=True))
+    options = pipelines.YearOptions(a.prefix, a.year, months, manifest.states(a.ufs), a.scope, a.max_missing, a.min_names, not a.skip_transfer, not a.skip_residence, a.force, a.parquet)
+    try:
+        if not a.graph_only:
+            catalog, centres = (readers.read_catalog(spark, a.catalog) if a.catalog else None), (readers.read_centres(spark, a.centres) if a.centres else None)
+            places = _table(spark, a.reference, a.sep) if a.reference else None
+            if code := pipelines.run_months(spark, a.input, a.output, _codes(spark, a.codes), options, catalog, centres, places):
+                return code
+        return 0 if a.skip_graph else pipelines.write_year(spark, a.output, options, not a.skip_page)
+    except FileNotFoundError as err:
+        print(err, file=sys.stderr)
+        return 2
+
+
+def year_plan(spark: SparkSession, a: argparse.Namespace) -> int:
+    """The year's graph as one plan, without monthly artifacts."""
     months = sorted(manifest.numbers(a.months, 1, 12, "months", lenient=True))
     try:
         v, e, rejected = pipelines.run_year(spark, a.input, a.year, _codes(spark, a.codes), months, manifest.states(a.ufs))
@@ -119,9 +138,10 @@ def draw(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def reference(spark: SparkSession, a: argparse.Namespace) -> int:
     """The facility catalog of a competence from raw establishment files, the municipality catalog and caches."""
-    raw = _table(spark, a.input, a.sep)
+    raw = _table(spark, a.input, a.sep, file_column="_file")
+    state = F.upper(F.regexp_extract("_file", manifest.ESTABLISHMENTS.pattern, 1)) if "_file" in raw.columns else F.lit("")
     flags = {c: F.col(c.upper()) if c.upper() in raw.columns else F.lit(None).cast("string") for c in ("vinc_sus", "atendhos", "leithosp", "niv_dep", "nat_jur")}
-    rows = raw.select(nz.facility_code(F.col("CNES")).alias("cnes"), nz.code6_loose(F.col("CODUFMUN")).alias("municipality_code"), F.lit("").alias("uf"), *[v.alias(k) for k, v in flags.items()])
+    rows = raw.select(nz.facility_code(F.col("CNES")).alias("cnes"), nz.code6_loose(F.col("CODUFMUN")).alias("municipality_code"), state.alias("uf"), *[v.alias(k) for k, v in flags.items()])
     rows = nodes.keep_first(rows.where("cnes != '' AND municipality_code != ''"), "cnes", ["municipality_code"])
     places = enrich.municipality_reference(readers.read_catalog(spark, a.catalog), readers.read_centres(spark, a.centres))
     full = enrich.facility_reference(rows, places, readers.read_facilities(spark, a.cache), manifest.competence(a.competence))
@@ -150,7 +170,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     command(build_nodes, "nodes", "input", "output")
     command(validate, "validate", "nodes", "edges", max_missing=0.0, min_names=0.9)
     command(batch, "batch", "input", "edges", "output", prefix="batch", year=2021, month=1, ufs="ALL", icd="", min_count=1.0, scope="all", max_missing=0.0, min_names=0.9, catalog=None, centres=None, reference=None, parquet=False)
-    command(year, "year", "input", "output", year=2021, months="1-12", ufs="ALL", codes=None, format="gexf")
+    command(year, "year", "input", "output", prefix="sih_br", year=2021, months="1-12", ufs="ALL", codes=None, scope="all", max_missing=0.0, min_names=0.9, catalog=None, centres=None, reference=None,
+            graph_only=False, skip_graph=False, skip_transfer=False, skip_residence=False, skip_page=False, force=False, parquet=False)
+    command(year_plan, "year-plan", "input", "output", year=2021, months="1-12", ufs="ALL", codes=None, format="gexf")
     command(metrics, "metrics", "nodes", "edges", min_count=1.0, top=20, bins=40)
     command(draw, "map", "nodes", "edges", "output", type="all", min_count=1.0, max_nodes=5000, max_edges=2000)
     command(reference, "reference", "input", "output", "catalog", "centres", "cache", competence="2101", scope="public_hospitals")

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as nz
 from .roles import ROLES, first_available
 
 
-def residence_edges(records: DataFrame) -> DataFrame:
-    """From the municipality of residence to the facility, weighted by records; rows without either are left out."""
+# How residence edges are marked.
+RESIDENCE = {"match_method": "residence", "rule_version": "residence_v1_2026_04_26", "assumption_revision": "2026-04-26"}
+
+
+def residence_edges(records: DataFrame, period: str | None = None) -> DataFrame:
+    """From the municipality of residence to the facility, weighted by records (of each ``period``); rows without either are left out."""
     place, facility = first_available(records.columns, ROLES["residence"]), first_available(records.columns, ROLES["node_facility"])
     if not place or not facility:
         raise ValueError("no residence or facility field")
-    ends = records.select(nz.code6_strict(F.col(place)).alias("m"), nz.text(F.col(facility)).alias("f")).where("m != '' AND f != ''")
-    return ends.groupBy("m", "f").agg(F.count(F.lit(1)).alias("transfer_count")).select(
-        F.concat(F.lit("municipality:"), "m").alias("source_node_id"), F.concat(F.lit("facility:"), "f").alias("target_node_id"),
-        F.lit("residence").alias("edge_type"), "transfer_count", F.lit("residence_flow").alias("match_method"), F.lit(None).cast("double").alias("confidence_score"),
+    keys = [c for c in (period,) if c]
+    ends = records.select(nz.code6_strict(F.col(place)).alias("m"), nz.text(F.col(facility)).alias("f"), *keys).where("m != '' AND f != ''")
+    none = F.lit(None).cast("double")
+    return ends.groupBy("m", "f", *keys).agg(F.count(F.lit(1)).alias("transfer_count")).select(
+        F.concat(F.lit("municipality:"), "m").alias("source_node_id"), F.concat(F.lit("facility:"), "f").alias("target_node_id"), F.lit("residence").alias("edge_type"),
+        "transfer_count", none.alias("confidence_score"), none.alias("distance_km"), *[F.lit(v).alias(c) for c, v in RESIDENCE.items()], *keys,
     )
 
 
@@ -63,7 +69,3 @@ def edges_in_states(edges: DataFrame, node_state: DataFrame, states: list[str])
 
 def top_by_count(edges: DataFrame, n: int) -> DataFrame:
     return edges.orderBy(F.desc("transfer_count"), "source_node_id", "target_node_id").limit(n)
-
-
-def latest_per_edge(edges: DataFrame, key: str, order: list) -> DataFrame:
-    return edges.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +13,23 @@ STATES = (
     "AC", "AL", "AM", "AP", "BA", "CE", "DF", "ES", "GO", "MA", "MG", "MS", "MT", "PA", "PB", "PE", "PI", "PR", "RJ", "RN",
     "RO", "RR", "RS", "SC", "SE", "SP", "TO",
 )
-INPATIENT = r"^RD([A-Z]{2})(\d{2})(\d{2})\.dbc$"
 
 
-def outpatient(prefix: str) -> str:
-    return rf"^{re.escape(prefix)}(\d{{2}})(\d{{2}})([a-z])\.dbc$"
+@dataclass(frozen=True)
+class Names:
+    """File names as a pattern and what its groups are: uf, yy, mm, part."""
+
+    pattern: str
+    groups: tuple[str, ...]
+
+
+INPATIENT = Names(r"^RD([A-Z]{2})(\d{2})(\d{2})\.dbc$", ("uf", "yy", "mm"))
+ESTABLISHMENTS = Names(r"(?i)^ST([A-Z]{2})(\d{2})(\d{2})\.db[cf]$", ("uf", "yy", "mm"))
+
+
+def outpatient(prefix: str) -> Names:
+    """Names of a prefix such as PASP, whose last two letters are the state."""
+    return Names(rf"^{re.escape(prefix[:-2])}({re.escape(prefix[-2:])})(\d{{2}})(\d{{2}})([a-z])\.dbc$", ("uf", "yy", "mm", "part"))
 
 
 def numbers(spec: str, low: int, high: int, label: str = "value", lenient: bool = False) -> set[int]:
@@ -67,10 +80,11 @@ def batch_tag(prefix: str, year: int, month: int, ufs: list[str] = (), icds: lis
     return "_".join(parts)
 
 
-def parse_names(listing: DataFrame, pattern: str = INPATIENT, name: str = "name") -> DataFrame:
-    """Adds uf, year and month; names that don't match are dropped."""
-    g = lambda k: F.regexp_extract(name, pattern, k)
-    return listing.where(F.col(name).rlike(pattern)).withColumns({"uf": g(1), "year": 2000 + g(2).cast("int"), "month": g(3).cast("int")})
+def parse_names(listing: DataFrame, names: Names = INPATIENT, name: str = "name") -> DataFrame:
+    """Adds uf, year and month, and part where names have one; names that don't match are dropped."""
+    g = lambda k: F.regexp_extract(name, names.pattern, names.groups.index(k) + 1)
+    found = {"uf": F.upper(g("uf")), "year": 2000 + g("yy").try_cast("int"), "month": g("mm").try_cast("int")}
+    return listing.where(F.col(name).rlike(names.pattern)).withColumns(found | ({"part": g("part")} if "part" in names.groups else {}))
 
 
 def select_files(listing: DataFrame, years: set[int], months: set[int], ufs: list[str] = ()) -> DataFrame:
@@ -78,6 +92,13 @@ def select_files(listing: DataFrame, years: set[int], months: set[int], ufs: lis
     return listing.where(keep & F.col("uf").isin(list(ufs)) if ufs else keep)
 
 
+def in_order(files: DataFrame, max_files: int | None = None) -> DataFrame:
+    """In the order in which files are fetched: year, month, part or state, name; the first ``max_files`` if given."""
+    by = ["year", "month", *[c for c in ("part", "uf") if c in files.columns], "name"]
+    ordered = files.orderBy(*by)
+    return ordered if max_files is None else ordered.limit(max_files)
+
+
 def by_month(files: DataFrame, years: set[int], months: set[int]) -> DataFrame:
     """One row per year and month asked for, with zeros where nothing is there."""
     spark = files.sparkSession

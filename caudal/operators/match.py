@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as nz
+from ..session import cut
 
 
 @dataclass(frozen=True)
@@ -95,6 +96,7 @@ def judge(prepared: DataFrame, cfg: MatchConfig) -> DataFrame:
     if cfg.exclude_same_facility:
         # an anchor sees no row of its own facility, so of two facilities one row each
         cand = cand.groupBy(*same, "facility").agg(F.min("rid").alias("rid"))
+    # a limit of rows per group, which each map task applies before the shuffle
     twins = Window.partitionBy(*same).orderBy("facility", "rid")
     cand = cand.withColumn("_n", F.row_number().over(twins)).where("_n <= 2")
     cand = cand.select(
@@ -132,7 +134,9 @@ def judge(prepared: DataFrame, cfg: MatchConfig) -> DataFrame:
 
 def events(judged: DataFrame, cfg: MatchConfig) -> DataFrame:
     b = F.col("best")
+    scope = [F.col("scope").alias("period")] if cfg.scope else []
     return judged.where("outcome = 'matched'").select(
+        *scope,
         nz.stable_hash(F.col("facility"), b["target"], nz.moment_text(F.col("left")), nz.moment_text(b["entered"]), F.col("subject"), F.lit(cfg.rule_version)).alias("event_id"),
         F.col("facility").alias("source_facility_id"),
         b["target"].alias("target_location_id"),
@@ -152,21 +156,27 @@ def rejections(judged: DataFrame) -> DataFrame:
 
 
 def transfer_edges(ev: DataFrame) -> DataFrame:
-    """Events as weighted edges. Null keys are kept; the edge id ignores type and method."""
+    """Events as weighted edges (of each period, where events have one). Null keys are kept; the edge id ignores type and method."""
     keys = ["source_facility_id", "target_location_id", "target_location_type", "match_method", "rule_version", "assumption_revision"]
-    grouped = ev.groupBy(*keys).agg(F.count("event_id").alias("transfer_count"), F.avg("confidence_score").alias("confidence_score"))
+    period = [c for c in ("period",) if c in ev.columns]
+    grouped = ev.groupBy(*keys, *period).agg(F.count("event_id").alias("transfer_count"), F.avg("confidence_score").alias("confidence_score"))
     edge_id = nz.stable_hash(*[F.col(k) for k in (keys[0], keys[1], keys[4], keys[5])])
     return grouped.select(
-        edge_id.alias("edge_id"), *keys[:3], "transfer_count", F.lit(None).cast("double").alias("distance_km"), keys[3], "confidence_score", *keys[4:]
+        edge_id.alias("edge_id"), *keys[:3], "transfer_count", F.lit(None).cast("double").alias("distance_km"), keys[3], "confidence_score", *keys[4:], *period
     )
 
 
 def infer(records: DataFrame, codes: list[str], cfg: MatchConfig | None = None) -> tuple[DataFrame, DataFrame]:
     cfg = cfg or MatchConfig()
-    judged = judge(prepare(records, codes, cfg), cfg)
+    judged = cut(judge(numbered(prepare(records, codes, cfg), cfg), cfg))
     return events(judged, cfg), rejections(judged)
 
 
+def numbered(prepared: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """``judge`` reads records twice and tells them by ``rid``; without an ``order`` the numbers are only fixed once they are written."""
+    return prepared if cfg.order else cut(prepared)
+
+
 def key_collisions(keys: DataFrame, key: str) -> DataFrame:
     """How far a linkage key falls short of being unique; blank keys are left out. ``rows_in_collision``: rows beyond the first."""
     per = keys.where(nz.text(F.col(key)) != "").groupBy(key).agg(F.count(F.lit(1)).alias("n"))

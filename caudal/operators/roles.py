@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,6 +136,22 @@ class GateResult:
         return "\n".join([*head, *(f"{k}: {v}" for k, v in self.roles.items()), *(f"blocker: {b}" for b in self.blockers), *(f"note: {w}" for w in self.warnings)])
 
 
+def gate_headers(headers: DataFrame, key: str, header: str) -> DataFrame:
+    """The gate's verdict for every row of ``headers``, whose column ``header`` is an array of field names."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for k, names in zip(b[key], b[header]):
+                r = schema_gate(list(names))
+                out.append((k, r.total_columns, r.profile, r.passed, r.probabilistic, "/".join(r.datetime_pair or ()), ", ".join(r.missing_required), len(r.blockers), len(r.warnings)))
+            yield pd.DataFrame(out, columns=[key, "total_columns", "profile", "passed", "probabilistic", "datetime_pair", "missing_required", "n_blockers", "n_warnings"])
+
+    kind = headers.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, total_columns int, profile string, passed boolean, probabilistic boolean, datetime_pair string, missing_required string, n_blockers int, n_warnings int"
+    return headers.select(key, header).mapInPandas(run, schema)
+
+
 def schema_gate(header: Sequence[str], validated_codes: int | None = None) -> GateResult:
     """Whether a source can feed the matcher. ``validated_codes``: transfer codes validated in the code book, None to skip it."""
     profile = source_profile(header)

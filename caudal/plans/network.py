@@ -6,13 +6,13 @@ whose outcomes cover every rejection reason.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions import normalize as nz
 from ..operators import edges as ed
-from ..operators import enrich, graph, manifest, match, nodes, roles
+from ..operators import drift, enrich, graph, manifest, match, nodes, roles
 from ..session import cut, table
 from ..sources import sinks
 
@@ -308,8 +308,8 @@ def edges_coverage(spark, d):
     return nodes.coverage(_mapped(spark, d))
 
 
-_RES = f"""SELECT 'municipality:' || m AS source_node_id, 'facility:' || f AS target_node_id, 'residence' AS edge_type, count(*) AS transfer_count, 'residence_flow' AS match_method,
-  CAST(NULL AS DOUBLE) AS confidence_score FROM (SELECT {q_code6('munic_res')} AS m, {q_text('cnes')} AS f FROM stays) WHERE m <> '' AND f <> '' GROUP BY m, f"""
+_RES = f"""SELECT 'municipality:' || m AS source_node_id, 'facility:' || f AS target_node_id, 'residence' AS edge_type, count(*) AS transfer_count,
+  CAST(NULL AS DOUBLE) AS confidence_score, CAST(NULL AS DOUBLE) AS distance_km, 'residence' AS match_method, 'residence_v1_2026_04_26' AS rule_version, '2026-04-26' AS assumption_revision FROM (SELECT {q_code6('munic_res')} AS m, {q_text('cnes')} AS f FROM stays) WHERE m <> '' AND f <> '' GROUP BY m, f"""
 
 
 @query(_RES)
@@ -319,7 +319,7 @@ def edges_residence(spark, d):
 
 _YEAR = f"""SELECT source_node_id, target_node_id, edge_type, sum(coalesce(CAST(transfer_count AS DOUBLE), 1.0)) AS transfer_count, round(avg(confidence_score), 6) AS confidence_score, arg_min(rule_version, (period, rule_version)) FILTER (rule_version IS NOT NULL) AS rule_version
   FROM (SELECT source_node_id, target_node_id, 'transfer' AS edge_type, transfer_count, confidence_score, rule_version, cmpt AS period FROM transfer_edges
-  UNION ALL SELECT source_node_id, target_node_id, edge_type, transfer_count, confidence_score, NULL, '000000' FROM ({_RES})) GROUP BY 1, 2, 3"""
+  UNION ALL SELECT source_node_id, target_node_id, edge_type, transfer_count, confidence_score, rule_version, '000000' FROM ({_RES})) GROUP BY 1, 2, 3"""
 
 
 def _periods(spark, d):
@@ -710,3 +710,38 @@ def manifest_grid(spark, d):
 @query(f"SELECT uf, year, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS n_bytes FROM ({_PARSED}) GROUP BY ROLLUP (uf, year) UNION ALL SELECT 'SP', NULL, 0, 0 WHERE 'SP' NOT IN (SELECT uf FROM ({_PARSED}))")
 def manifest_by_uf(spark, d):
     return manifest.by_state(_files(spark, d), ["SP"])
+
+
+_OUT = f"""SELECT name, substr(name, 3, 2) AS uf, 2000 + CAST(substr(name, 5, 2) AS INT) AS year, CAST(substr(name, 7, 2) AS INT) AS month, substr(name, 9, 1) AS part, size
+  FROM (SELECT left(file_name, 8) || chr(CAST(97 + file_id % 3 AS INT)) || '.dbc' AS name, sum(length(payload)) AS size FROM raw_records GROUP BY 1) WHERE regexp_full_match(name, 'PAQA[0-9]{{4}}[a-z]\\.dbc')"""
+
+
+@query(f"SELECT name, uf, year, month, part, CAST(size AS BIGINT) AS size FROM ({_OUT}) ORDER BY year, month, part, name LIMIT 20")
+def manifest_outpatient(spark, d):
+    """The first files of an outpatient listing, in the order in which they are fetched."""
+    name = F.concat(F.substring("file_name", 1, 8), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("file_id") % 3 + 1).cast("int")), F.lit(".dbc"))
+    f = table(spark, d, "raw_records").groupBy(name.alias("name")).agg(F.sum(F.length("payload")).cast("long").alias("size"))
+    return manifest.in_order(manifest.parse_names(f, manifest.outpatient("PAQA")), 20).select("name", "uf", "year", "month", "part", "size")
+
+
+@query(g_sql() + """, pl AS (SELECT * FROM nodes WHERE latitude IS NOT NULL AND longitude IS NOT NULL), ids AS (SELECT DISTINCT node_id FROM pl), t AS (SELECT source_node_id IN (SELECT node_id FROM ids) AND target_node_id IN (SELECT node_id FROM ids) AS drawn
+  FROM (SELECT * FROM g ORDER BY transfer_count DESC, source_node_id, target_node_id LIMIT 500))
+  SELECT (SELECT count(*) FROM pl WHERE lower(node_type) = 'facility') AS facility_markers, (SELECT count(*) FROM pl WHERE lower(node_type) = 'municipality') AS municipality_markers, (SELECT round(avg(latitude), 6) FROM pl) AS centre_latitude,
+  (SELECT round(avg(longitude), 6) FROM pl) AS centre_longitude, count(*) AS edges_considered, count(*) FILTER (drawn) AS edges_drawn, count(*) FILTER (NOT drawn) AS edges_without_coordinates FROM t""")
+def viz_map_summary(spark, d):
+    places, e = table(spark, d, "nodes"), _graph(spark, d)[1]
+    return graph.map_summary(places, graph.map_edges(places, e, 500))
+
+
+@query()
+def gate_header_report(spark, d):
+    """The schema gate for the header of every file of raw_records."""
+    headers = drift.line_fields(table(spark, d, "raw_records"), ["file_id"]).groupBy("file_id").agg(F.array_sort(F.collect_set("field")).alias("header"))
+    return roles.gate_headers(headers, "file_id", "header")
+
+
+@query(f"SELECT node_type, node_id, name, municipality_code, row_number() OVER (ORDER BY node_type, node_id) AS place FROM ({SQL['nodes_build']}) ORDER BY place LIMIT 200")
+def nodes_sorted(spark, d):
+    """The first nodes as the sinks write them, by type and id."""
+    first = nodes_build(spark, d).orderBy("node_type", "node_id").limit(200)
+    return first.select("node_type", "node_id", "name", "municipality_code", F.row_number().over(Window.orderBy("node_type", "node_id")).cast("long").alias("place"))

@@ -1,8 +1,9 @@
 """Tables in dBASE files and their compressed form, as a Spark data source.
 
 ``spark.dataSource.register(DbfSource)``, then ``spark.read.format("dbf").load(path)``; options: ``columns`` (comma-separated,
-only these are decoded), ``limit`` (rows per file), ``encoding``. Every file is a partition of its own; every column a string,
-numeric fields that don't hold a number are null.
+only these are decoded), ``limit`` (rows per file), ``encoding``, ``file_column`` (a column for the name of the file). Plain files are
+split by records, ``SPLIT_BYTES`` a partition; a compressed file is one. Every column is a string, numeric fields that don't hold a
+number are null. Paths are those of a folder that all executors mount.
 """
 
 from __future__ import annotations
@@ -157,16 +158,27 @@ def decompress_dbc(data: bytes) -> bytes:
     return data[: head - 1] + b"\r" + explode(data[head + 4 :])
 
 
-def load(path: str) -> bytes:
+def load(path: str, start: int = 0, count: int | None = None) -> bytes:
+    """A file as plain dBASE; of a plain one only ``count`` records from ``start`` on are read."""
     with open(path, "rb") as f:
-        data = f.read()
-    return decompress_dbc(data) if path.lower().endswith(".dbc") else data
+        if path.lower().endswith(".dbc"):
+            return decompress_dbc(f.read())
+        if count is None:
+            return f.read()
+        head = f.read(65_536)
+        _, size, width, _ = parse_header(head)
+        f.seek(size + start * width)
+        return head[:4] + struct.pack("<I", count) + head[8:size] + f.read(count * width)
+
+
+#: Bytes of a plain file that one task reads.
+SPLIT_BYTES = 64 << 20
 
 
 class FilePartition(InputPartition):
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
-        self.path = path
+    def __init__(self, path: str, start: int = 0, count: int | None = None) -> None:
+        super().__init__((path, start))
+        self.path, self.start, self.count = path, start, count
 
 
 class DbfReader(DataSourceReader):
@@ -174,12 +186,25 @@ class DbfReader(DataSourceReader):
         self.options, self.schema = options, schema
 
     def partitions(self) -> list[InputPartition]:
-        return [FilePartition(p) for p in DbfSource.files(self.options)]
+        out: list[InputPartition] = []
+        for p in DbfSource.files(self.options):
+            if p.lower().endswith(".dbc") or self.options.get("limit"):
+                out.append(FilePartition(p))
+                continue
+            with open(p, "rb") as f:
+                n, _, width, _ = parse_header(f.read(65_536))
+            step = max(1, SPLIT_BYTES // max(width, 1))
+            out += [FilePartition(p, k, min(step, n - k)) for k in range(0, n, step)]
+        return out
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
         limit = self.options.get("limit")
-        names = [f.name for f in self.schema.fields]
-        yield from records(load(partition.path), names, int(limit) if limit else None, self.options.get("encoding", "latin-1"))
+        extra = self.options.get("file_column")
+        names = [f.name for f in self.schema.fields if f.name != extra]
+        rows = records(load(partition.path, partition.start, partition.count), names, int(limit) if limit else None, self.options.get("encoding", "latin-1"))
+        at = [f.name for f in self.schema.fields].index(extra) if extra else 0
+        for r in rows:
+            yield (*r[:at], os.path.basename(partition.path), *r[at:]) if extra else r
 
 
 class DbfSource(DataSource):
@@ -204,6 +229,7 @@ class DbfSource(DataSource):
         else:
             with open(self.files(self.options)[0], "rb") as f:
                 names = [x.name for x in parse_header(f.read(65_536))[3]]
+        names += [self.options["file_column"]] if self.options.get("file_column") else []
         return StructType([StructField(n, StringType()) for n in names])
 
     def reader(self, schema: StructType) -> DbfReader:

@@ -23,9 +23,15 @@ CENTRES = "source string, cached_at_utc string, centroids map<string, struct<lat
 FACILITIES = "source string, cached_at_utc string, facilities map<string, struct<name: string, municipality_code: string, latitude: string, longitude: string>>"
 
 
-def read_csv(spark: SparkSession, path: str | list[str], sep: str = ";", null_tokens: Iterable[str] = NULL_TOKENS) -> DataFrame:
-    """Every column a string, so that ids keep their zeros; a byte order mark is dropped; null tokens become null."""
-    df = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+def read_csv(spark: SparkSession, path: str | list[str], sep: str = ";", null_tokens: Iterable[str] = NULL_TOKENS, line_breaks: bool | None = None) -> DataFrame:
+    """Every column a string, so that ids keep their zeros; a byte order mark is dropped; null tokens become null.
+
+    ``line_breaks``: whether values may hold line breaks; such a file can't be split over tasks. If not given, the lines are looked
+    through for one with a quote left open.
+    """
+    if line_breaks is None:
+        line_breaks = not spark.read.text(path).where(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).isEmpty()
+    df = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", line_breaks).csv(path)
     names = [c.lstrip("﻿").strip() for c in df.columns]
     df = df.toDF(*names)
     tokens = list(null_tokens)
@@ -60,11 +66,15 @@ def read_months(spark: SparkSession, root: str, year: int, months: list[int], uf
     return spark.read.parquet(root).where(keep & F.col("uf").isin(ufs) if ufs else keep)
 
 
-def list_raw(spark: SparkSession, root: str, suffix: str = "dbc") -> DataFrame:
-    """(path, size, year, month, uf) of the raw files of a lake, without reading them."""
+def list_raw(spark: SparkSession, root: str, suffix: str = "dbc", years: list[int] | None = None, months: list[int] | None = None, ufs: list[str] | None = None) -> DataFrame:
+    """(path, size, year, month, uf) of the raw files of a lake, without reading them, those of some years, months and states only
+    if these are given."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").load(root)
     part = lambda k: F.regexp_extract("path", rf"/{k}=([^/]+)/", 1)
-    return files.select("path", F.col("length").alias("size"), part("year").try_cast("int").alias("year"), part("month").try_cast("int").alias("month"), part("uf").alias("uf"))
+    out = files.select("path", F.col("length").alias("size"), part("year").try_cast("int").alias("year"), part("month").try_cast("int").alias("month"), part("uf").alias("uf"))
+    for c, wanted in (("year", years), ("month", months), ("uf", ufs)):
+        out = out.where(F.col(c).isin(list(wanted))) if wanted else out
+    return out
 
 
 def read_catalog(spark: SparkSession, path: str, refresh: Callable[[], str] | None = None) -> DataFrame:
@@ -125,11 +135,40 @@ def facility_record(payload: DataFrame) -> DataFrame:
     )
 
 
+MAX_ATTRIBUTES = 200
+NUMBERS = ("transfer_count", "confidence_score", "distance_km", "latitude", "longitude", "capacity_beds")
+
+
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices and edges of a GEXF or GraphML file, as (node_id, label) and (source_node_id, target_node_id, weight)."""
+    """Vertices (node_id, label, attributes) and edges (source_node_id, target_node_id, weight, attributes) of a GEXF or GraphML file.
+
+    Attributes get the names that the file declares for them (at most MAX_ATTRIBUTES a kind); counts, scores and coordinates are
+    numbers, the rest text.
+    """
+    gexf = path.lower().endswith(".gexf")
     xml = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
-    v = xml("node", "_id string, _label string").select(F.col("_id").alias("node_id"), F.col("_label").alias("label"))
-    e = xml("edge", "_source string, _target string, _weight double").select(F.col("_source").alias("source_node_id"), F.col("_target").alias("target_node_id"), F.col("_weight").alias("weight"))
+    item, name = ("struct<_for: string, _value: string>", "attvalues") if gexf else ("struct<_key: string, _VALUE: string>", "data")
+    cells = f"attvalues struct<attvalue: array<{item}>>" if gexf else f"data array<{item}>"
+    if gexf:
+        declared = xml("attributes", "_class string, attribute array<struct<_id: string, _title: string>>").select(F.col("_class").alias("kind"), F.explode("attribute").alias("a")).select("kind", F.col("a._id").alias("id"), F.col("a._title").alias("title"))
+    else:
+        declared = xml("key", "_id string, _for string, `_attr.name` string").select(F.col("_for").alias("kind"), F.col("_id").alias("id"), F.col("`_attr.name`").alias("title"))
+    titles: dict[str, dict[str, str]] = {"node": {}, "edge": {}}
+    for r in declared.limit(2 * MAX_ATTRIBUTES + 1).collect():
+        titles.setdefault(r.kind, {})[r.id] = r.title
+    if any(len(t) > MAX_ATTRIBUTES for t in titles.values()):
+        raise ValueError(f"more than {MAX_ATTRIBUTES} attributes")
+
+    def attributes(kind: str) -> list:
+        pairs = F.col("attvalues.attvalue") if gexf else F.col("data")
+        key, value = ("_for", "_value") if gexf else ("_key", "_VALUE")
+        of = lambda i: F.element_at(F.filter(pairs, lambda p: p[key] == i), 1)[value]
+        has = lambda i: F.exists(pairs, lambda p: p[key] == i)
+        found = {i: F.when(has(i), of(i)) for i in titles[kind]}
+        return [(c.try_cast("double") if titles[kind][i] in NUMBERS else c).alias(titles[kind][i]) for i, c in found.items()]
+
+    v = xml("node", f"_id string, _label string, {cells}").select(F.col("_id").alias("node_id"), F.col("_label").alias("label"), *attributes("node"))
+    e = xml("edge", f"_source string, _target string, _weight double, {cells}").select(F.col("_source").alias("source_node_id"), F.col("_target").alias("target_node_id"), F.col("_weight").alias("weight"), *attributes("edge"))
     return v, e
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ftplib
 import json
 import os
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -38,9 +41,59 @@ def fetch_json(get: Callable[[str], bytes], url: str, **retry) -> dict | list |
     return None if body is None else json.loads(body)
 
 
-def listing(spark: SparkSession, entries: Iterable[tuple[str, int]], pattern: str = manifest.INPATIENT) -> DataFrame:
-    """(name, size, uf, year, month) of a remote folder's entries."""
-    return manifest.parse_names(spark.createDataFrame(list(entries), "name string, size long"), pattern)
+def listing(spark: SparkSession, entries: Iterable[tuple[str, int]], names: manifest.Names = manifest.INPATIENT) -> DataFrame:
+    """(name, size, uf, year, month) of a remote folder's entries, with part where names have one."""
+    return manifest.parse_names(spark.createDataFrame(list(entries), "name string, size long"), names)
+
+
+def http_get(url: str, timeout: float = 60.0) -> bytes:
+    """A transport over HTTP for ``fetch_json``."""
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers={"Accept": "application/json"}), timeout=timeout) as answer:
+            return answer.read()
+    except urllib.error.HTTPError as e:
+        if e.code == 404:
+            raise NotFound(url) from e
+        raise
+
+
+class Ftp:
+    """A folder of an FTP server as entries for ``listing`` and as the ``retrieve`` of ``download``."""
+
+    def __init__(self, host: str, folder: str, timeout: float = 60.0, connect: Callable[..., ftplib.FTP] = ftplib.FTP) -> None:
+        self.host, self.folder, self.timeout, self.connect = host, folder, timeout, connect
+
+    def _open(self) -> ftplib.FTP:
+        ftp = self.connect(self.host, timeout=self.timeout)
+        ftp.login()
+        ftp.cwd(self.folder)
+        ftp.voidcmd("TYPE I")
+        return ftp
+
+    def entries(self) -> list[tuple[str, int]]:
+        """(name, size) from the server's listing: dates, times, size and name a line."""
+        lines: list[str] = []
+        ftp = self._open()
+        try:
+            ftp.retrlines("LIST", lines.append)
+        finally:
+            ftp.close()
+        out = []
+        for line in lines:
+            parts = line.split(maxsplit=3) if line[:1].isdigit() else line.split(maxsplit=8)
+            size, name = (parts[2], parts[3]) if len(parts) == 4 else (parts[4], parts[8]) if len(parts) == 9 else ("", "")
+            if size.isdigit():
+                out.append((name.strip(), int(size)))
+        return out
+
+    def retrieve(self, name: str, offset: int) -> Iterable[bytes]:
+        ftp = self._open()
+        try:
+            with ftp.transfercmd(f"RETR {name}", rest=offset or None) as data:
+                while chunk := data.recv(1 << 20):
+                    yield chunk
+        finally:
+            ftp.close()
 
 
 @dataclass

@@ -69,11 +69,19 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_json_lines_file(df: DataFrame, path: str) -> None:
+    """One file of JSON lines, streamed through the driver; keys of null values are written."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        for r in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).toLocalIterator():
+            f.write(r[0] + "\n")
+
+
 def export_page(nodes: DataFrame, edges: DataFrame, folder: str, tag: str) -> dict:
     """What the map page loads: nodes, edges, and a small description that names them. A limit of 0 means none."""
     meta = {"nodes_jsonl": f"{tag}_nodes.jsonl", "edges_jsonl": f"{tag}_edges.jsonl", "defaults": {"max_nodes_default": 0, "max_edges_default": 0}}
-    write_json_lines(page_nodes(nodes), f"{folder}/{meta['nodes_jsonl']}")
-    write_json_lines(page_edges(edges), f"{folder}/{meta['edges_jsonl']}")
+    write_json_lines_file(page_nodes(nodes), f"{folder}/{meta['nodes_jsonl']}")
+    write_json_lines_file(page_edges(edges), f"{folder}/{meta['edges_jsonl']}")
     write_report(f"{folder}/{tag}_meta.json", meta)
     return meta
 

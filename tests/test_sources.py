@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from caudal.operators import roles
+from caudal.operators import graph, manifest, roles
 from caudal.plans import pipelines
 from caudal.sources import dbf, readers, remote, sinks
 from caudal.streaming import live
@@ -52,6 +52,16 @@ def test_dbf(spark, tmp_path):
         spark.read.format("dbf").load(f"{tmp_path}/none").collect()
 
 
+def test_dbf_splits_and_names_files(spark, tmp_path):
+    (tmp_path / "STSP2101.dbf").write_bytes(dbf.write_dbf(ROWS * 50, FIELDS))
+    whole = list(dbf.records(dbf.write_dbf(ROWS * 50, FIELDS)))
+    path, n = str(tmp_path / "STSP2101.dbf"), len(whole)
+    assert [r for k in range(0, n, 7) for r in dbf.records(dbf.load(path, k, min(7, n - k)))] == whole
+    spark.dataSource.register(dbf.DbfSource)
+    got = spark.read.format("dbf").option("file_column", "_file").load(str(tmp_path))
+    assert got.count() == n and {r._file for r in got.collect()} == {"STSP2101.dbf"}
+
+
 def test_explode():
     assert dbf.explode(bytes.fromhex("00048224258f807f")) == b"AIAIAIAIAIAIA"
     with pytest.raises(ValueError):
@@ -121,6 +131,9 @@ def test_graph_files(spark, tmp_path, suffix):
     gv, ge = readers.read_graph(spark, f"{tmp_path}/g.{suffix}")
     assert {r.node_id for r in gv.collect()} == {"facility:1", "facility:2"}
     assert (ge.first().source_node_id, ge.first().target_node_id) == ("facility:1", "facility:2")
+    # attributes come back, so a stored graph can be measured
+    assert {r.node_id: r.name for r in gv.collect()} == {"facility:1": 'A & "B"', "facility:2": None}
+    assert ge.first().transfer_count == 3.0 and graph.summary(gv, ge).first().total_weight == 3.0
     assert "None" not in open(f"{tmp_path}/g.{suffix}").read()
     with pytest.raises(ValueError):
         sinks.write_graph(v, e, "g.txt")
@@ -130,7 +143,7 @@ def test_page_exports(spark, tmp_path):
     n = spark.createDataFrame([("facility:1", "facility", "</script>", None, -1.0, -2.0), ("municipality:2", "municipality", None, "2", None, 1.0)], "node_id string, node_type string, name string, municipality_code string, latitude double, longitude double")
     e = spark.createDataFrame([("facility:1", "municipality:2", "transfer", 3.0, None, None), ("facility:1", "facility:1", "transfer", 1.0, 1.0, "m")], "source_node_id string, target_node_id string, edge_type string, transfer_count double, confidence_score double, match_method string")
     meta = sinks.export_page(n, e, str(tmp_path), "t")
-    lines = [json.loads(x) for p in os.listdir(f"{tmp_path}/{meta['nodes_jsonl']}") if p.endswith(".json") for x in open(f"{tmp_path}/{meta['nodes_jsonl']}/{p}")]
+    lines = [json.loads(x) for x in open(f"{tmp_path}/{meta['nodes_jsonl']}")]
     assert {x["node_id"]: x["latitude"] for x in lines} == {"facility:1": -1.0, "municipality:2": None}
     s = sinks.write_map(n, e, f"{tmp_path}/m.html")
     assert (s["edges_considered"], s["edges_drawn"], s["edges_without_coordinates"], s["facility_markers"]) == (2, 1, 1, 1)
@@ -156,6 +169,9 @@ def test_remote(spark, tmp_path):
         remote.with_retries(gone)
     names = remote.listing(spark, [("RDSP2107.dbc", 5), ("PASP2107b.dbc", 5), ("RDRJ2101.dbc", 6)])
     assert sorted((r.uf, r.year, r.month) for r in names.collect()) == [("RJ", 2021, 1), ("SP", 2021, 7)]
+    parts = remote.listing(spark, [("RDSP2107.dbc", 5), ("PASP2107b.dbc", 5), ("PASP2101a.dbc", 6), ("PASP2107a.dbc", 7)], manifest.outpatient("PASP"))
+    assert [(r.uf, r.year, r.month, r.part) for r in manifest.in_order(parts).collect()] == [("SP", 2021, 1, "a"), ("SP", 2021, 7, "a"), ("SP", 2021, 7, "b")]
+    assert [r.name for r in manifest.in_order(parts, 1).collect()] == ["PASP2101a.dbc"]
     body, cut = b"0123456789", [4]
 
     def retrieve(name, offset):
@@ -185,6 +201,39 @@ def test_year(spark, tmp_path):
         pipelines.run_year(spark, f"{tmp_path}/lake", 2020, ["31"])
 
 
+def test_year_keeps_its_months(spark, tmp_path):
+    """Confidence is the mean of the monthly rows, texts are those of the first month."""
+    rows = [(f"p{m}{k}", str(k % 2 + 1), "31" if k < 2 else "12", "19800101", "F", str(41 + k % 2), "I500", f"35503{m}", f"2021-0{m}-0{1 + 2 * (k // 2)}", f"2021-0{m}-0{2 + 2 * (k // 2)}", 2021, m, "SP") for m in (1, 2) for k in range(4)]
+    pipelines.project_lake(spark.createDataFrame(rows, records(spark).schema), f"{tmp_path}/lake")
+    v, e, _ = pipelines.run_year(spark, f"{tmp_path}/lake", 2021, ["31"])
+    flows = e.where("edge_type = 'transfer'").collect()
+    assert {(r.source_node_id, r.target_node_id, r.transfer_count) for r in flows} == {("facility:1", "facility:1", 2.0), ("facility:2", "facility:2", 2.0)}
+    monthly = spark.createDataFrame([("f:1", "f:2", "transfer", 3.0, 1.0, "m1", "202101"), ("f:1", "f:2", "transfer", 1.0, 0.5, "m2", "202102")], "source_node_id string, target_node_id string, edge_type string, transfer_count double, confidence_score double, match_method string, period string")
+    from caudal.operators import edges
+
+    assert tuple(edges.roll_up(monthly).first()) == ("f:1", "f:2", "transfer", 4.0, 0.75, "m1")
+
+
+def test_stored_months(spark, tmp_path):
+    pipelines.project_lake(records(spark), f"{tmp_path}/lake")
+    options = pipelines.YearOptions(months=[1, 2], min_names=0.0)
+    args = (spark, f"{tmp_path}/lake", f"{tmp_path}/out", ["31"])
+    assert pipelines.write_year(spark, f"{tmp_path}/out", options) == 2
+    assert pipelines.run_months(*args, options) == 0
+    first = f"{tmp_path}/out/sih_br_202101"
+    names = set(os.listdir(first))
+    assert {f"{n}_sih_br_202101.csv" for n in ("nodes", "transfer_edges", "residence_edges", "facility_lookup", "municipality_lookup")} <= names
+    before = os.path.getmtime(f"{first}/summary_sih_br_202101.json")
+    assert pipelines.run_months(*args, options) == 0 and os.path.getmtime(f"{first}/summary_sih_br_202101.json") == before
+    assert pipelines.write_year(spark, f"{tmp_path}/out", options) == 0
+    edges = readers.read_csv(spark, f"{tmp_path}/out/sih_br_2021_edges.csv")
+    assert {r.edge_type for r in edges.collect()} == {"transfer", "residence"} and {r.rule_version for r in edges.where("edge_type = 'residence'").collect()} == {"residence_v1_2026_04_26"}
+    assert os.path.isfile(f"{tmp_path}/out/ui/sih_br_2021_nodes.jsonl")
+    # a contract that fails ends the run
+    strict = pipelines.YearOptions(months=[1, 2], max_missing=-1.0, force=True)
+    assert pipelines.run_months(*args, strict) == 2
+
+
 def test_batch(spark, tmp_path):
     _, _, flows = pipelines.movements(records(spark), ["31"])
     cat = spark.createDataFrame([(3550308, "Sao Paulo", ((("SP",),),)), (3304557, "Rio", ((("RJ",),),))], readers.CATALOG)
