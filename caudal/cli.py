@@ -129,6 +129,22 @@ def metrics(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def page(spark: SparkSession, a: argparse.Namespace) -> int:
+    """The graph page, of a stored graph file or of nodes and edges."""
+    v, e = readers.read_graph(spark, a.graph) if a.graph else graph.build(_table(spark, a.nodes, a.sep), _table(spark, a.edges, a.sep), a.min_count)
+    print(json.dumps(sinks.write_graph_page(v, e, a.output, a.max_nodes, a.max_edges, a.type)))
+    return 0
+
+
+def plots(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Degree histogram and sizes of components as SVG files."""
+    v, e = graph.build(_table(spark, a.nodes, a.sep), _table(spark, a.edges, a.sep), a.min_count)
+    sinks.write_bars(graph.degree_histogram(v, e, a.bins), "bin_start", "n_nodes", f"{a.output}/degree_histogram.svg", "Degrees")
+    for name, parts in (("weak", graph.weak_components(v, e)), ("strong", graph.strong_components(v, e))):
+        sinks.write_bars(graph.component_sizes(parts), "size", "n_components", f"{a.output}/{name}_components.svg", f"Sizes of {name} components")
+    return 0
+
+
 def draw(spark: SparkSession, a: argparse.Namespace) -> int:
     v, e = graph.build(_table(spark, a.nodes, a.sep), _table(spark, a.edges, a.sep), a.min_count)
     e = graph.of_type(v, e, a.type)[1]
@@ -174,6 +190,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             graph_only=False, skip_graph=False, skip_transfer=False, skip_residence=False, skip_page=False, force=False, parquet=False)
     command(year_plan, "year-plan", "input", "output", year=2021, months="1-12", ufs="ALL", codes=None, format="gexf")
     command(metrics, "metrics", "nodes", "edges", min_count=1.0, top=20, bins=40)
+    command(page, "page", "output", graph=None, nodes=None, edges=None, type="all", min_count=1.0, max_nodes=900, max_edges=1200)
+    command(plots, "plots", "nodes", "edges", "output", min_count=1.0, bins=40)
     command(draw, "map", "nodes", "edges", "output", type="all", min_count=1.0, max_nodes=5000, max_edges=2000)
     command(reference, "reference", "input", "output", "catalog", "centres", "cache", competence="2101", scope="public_hospitals")
     args = ap.parse_args(argv)

@@ -96,11 +96,13 @@ def without_isolates(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def subgraph(vertices: DataFrame, edges: DataFrame, max_nodes: int, max_edges: int) -> tuple[DataFrame, DataFrame]:
     """As it is if within both limits; else the strongest vertices with the edges among them; if those are still too many, the
     strongest edges, and only then vertices left without an edge go."""
-    if vertices.count() <= max_nodes and edges.count() <= max_edges:
+    vertices, edges = cut(vertices), cut(edges)  # each is looked at several times
+    sizes = vertices.select(F.lit(1).alias("v"), F.lit(0).alias("e")).unionAll(edges.select(F.lit(0), F.lit(1))).agg(F.sum("v"), F.sum("e")).first()
+    if (sizes[0] or 0) <= max_nodes and (sizes[1] or 0) <= max_edges:
         return vertices, edges
     keep = cut(degrees(vertices, edges).orderBy(F.desc("weighted_degree"), "node_id").limit(max_nodes).select("node_id"))
     v = vertices.join(keep, "node_id", "left_semi")
-    e = edges.join(keep.select(F.col("node_id").alias(S)), S, "left_semi").join(keep.select(F.col("node_id").alias(T)), T, "left_semi")
+    e = cut(edges.join(keep.select(F.col("node_id").alias(S)), S, "left_semi").join(keep.select(F.col("node_id").alias(T)), T, "left_semi"))
     if e.count() <= max_edges:
         return v, e
     e = cut(e.orderBy(F.desc(F.coalesce("transfer_count", F.lit(1.0))), S, T).limit(max_edges))

@@ -586,51 +586,57 @@ _SCC = g_sql(12) + ", " + _ISLANDS + "reach(a, b) AS (SELECT node_id, node_id FR
 
 
 def _islands(spark, d):
-    """Only transfer edges, of rows with at least 12 transfers: not the components of the graph, which are ``graph_*_all``."""
+    """Only transfer edges, of rows with at least 12 transfers, which is what the ``_min12`` queries say."""
     v, e = _graph(spark, d, 12)
     return v, e.where("edge_type = 'transfer'")
 
 
-@query(_WCC + "SELECT * FROM w")
+# labels by key instead of all pairs, so that the whole graph can be gone through
+_WCC_ALL = g_sql() + """, u AS MATERIALIZED (SELECT DISTINCT source_node_id AS a, target_node_id AS b FROM g WHERE source_node_id <> target_node_id UNION SELECT DISTINCT target_node_id, source_node_id FROM g WHERE source_node_id <> target_node_id),
+  w(node_id, component) USING KEY (node_id) AS (SELECT node_id, node_id FROM v UNION
+    (SELECT u.b, min(w.component) FROM w JOIN u ON u.a = w.node_id JOIN recurring.w AS r ON r.node_id = u.b WHERE w.component < r.component GROUP BY u.b)) """
+
+
+@query(_WCC_ALL + "SELECT node_id, component FROM w")
 def graph_wcc(spark, d):
-    return graph.weak_components(*_islands(spark, d))
+    """Weak components of the whole graph: every edge of every type, none left out for its count."""
+    return graph.weak_components(*_graph(spark, d))
 
 
-@query(_WCC + "SELECT size, count(*) AS n_components FROM (SELECT component, count(*) AS size FROM w GROUP BY 1) GROUP BY 1")
+@query(_WCC_ALL + "SELECT size, count(*) AS n_components FROM (SELECT component, count(*) AS size FROM w GROUP BY 1) GROUP BY 1")
 def graph_wcc_sizes(spark, d):
     return graph.component_sizes(graph_wcc(spark, d))
 
 
-@query(_SCC + "SELECT * FROM w")
+@query()
 def graph_scc(spark, d):
-    return graph.strong_components(*_islands(spark, d))
+    """Strong components of the whole graph; SQL would need all pairs, so they are tested against brute force."""
+    return graph.strong_components(*_graph(spark, d))
 
 
-@query(_SCC + "SELECT size, count(*) AS n_components FROM (SELECT component, count(*) AS size FROM w GROUP BY 1) GROUP BY 1")
+@query()
 def graph_scc_sizes(spark, d):
     return graph.component_sizes(graph_scc(spark, d))
 
 
-@query()
-def graph_wcc_all(spark, d):
-    """Weak components of the whole graph: every edge of every type, none left out for its count."""
-    return graph.weak_components(*_graph(spark, d))
+@query(_WCC + "SELECT * FROM w")
+def graph_wcc_min12(spark, d):
+    return graph.weak_components(*_islands(spark, d))
 
 
-@query()
-def graph_wcc_all_sizes(spark, d):
-    return graph.component_sizes(graph_wcc_all(spark, d))
+@query(_WCC + "SELECT size, count(*) AS n_components FROM (SELECT component, count(*) AS size FROM w GROUP BY 1) GROUP BY 1")
+def graph_wcc_sizes_min12(spark, d):
+    return graph.component_sizes(graph_wcc_min12(spark, d))
 
 
-@query()
-def graph_scc_all(spark, d):
-    """Strong components of the whole graph: every edge of every type, none left out for its count."""
-    return graph.strong_components(*_graph(spark, d))
+@query(_SCC + "SELECT * FROM w")
+def graph_scc_min12(spark, d):
+    return graph.strong_components(*_islands(spark, d))
 
 
-@query()
-def graph_scc_all_sizes(spark, d):
-    return graph.component_sizes(graph_scc_all(spark, d))
+@query(_SCC + "SELECT size, count(*) AS n_components FROM (SELECT component, count(*) AS size FROM w GROUP BY 1) GROUP BY 1")
+def graph_scc_sizes_min12(spark, d):
+    return graph.component_sizes(graph_scc_min12(spark, d))
 
 
 @query(g_sql(1, True) + """, kn AS (SELECT node_id FROM deg ORDER BY weighted_degree DESC, node_id LIMIT 100), ke AS (SELECT * FROM g WHERE source_node_id IN (SELECT node_id FROM kn) AND target_node_id IN (SELECT node_id FROM kn))

@@ -8,6 +8,7 @@ from __future__ import annotations
 import csv
 import html
 import json
+import math
 import os
 from collections.abc import Iterable
 from xml.sax.saxutils import quoteattr
@@ -154,6 +155,70 @@ def write_page(nodes: Iterable[dict], edges: Iterable[dict], path: str, title: s
         f.write(_PAGE.format(title=html.escape(title), nodes=safe(nodes), edges=safe(edges)))
 
 
+_GRAPH_PAGE = """<!doctype html><meta charset="utf-8"><title>{title}</title>
+<svg id="g" width="100%" height="95vh" viewBox="0 0 1000 700" style="background:#f8f9fb"></svg>
+<script>
+const nodes = {nodes}, edges = {edges}, svg = document.getElementById("g"), at = {{}};
+nodes.forEach((n, i) => {{ const a = 2.399963 * i, r = 300 * Math.sqrt((i + 1) / nodes.length); n.x = 500 + r * Math.cos(a); n.y = 350 + r * Math.sin(a); n.vx = n.vy = 0; at[n.id] = n; }});
+const links = edges.filter(e => at[e.s] && at[e.t]);
+// springs along edges, repulsion between nodes of neighbouring cells, a pull to the middle
+function step(cool) {{
+  const cells = {{}};
+  for (const n of nodes) (cells[(n.x >> 6) + "," + (n.y >> 6)] ||= []).push(n);
+  for (const n of nodes) {{
+    n.vx += (500 - n.x) * 0.004; n.vy += (350 - n.y) * 0.004;
+    for (let i = -1; i < 2; i++) for (let j = -1; j < 2; j++) for (const m of cells[((n.x >> 6) + i) + "," + ((n.y >> 6) + j)] || [])
+      if (m !== n) {{ const dx = n.x - m.x, dy = n.y - m.y, d = dx * dx + dy * dy + 1; n.vx += 40 * dx / d; n.vy += 40 * dy / d; }}
+  }}
+  for (const e of links) {{ const a = at[e.s], b = at[e.t], dx = b.x - a.x, dy = b.y - a.y; a.vx += dx * 0.01; a.vy += dy * 0.01; b.vx -= dx * 0.01; b.vy -= dy * 0.01; }}
+  for (const n of nodes) {{ n.x += Math.max(-9, Math.min(9, n.vx)) * cool; n.y += Math.max(-9, Math.min(9, n.vy)) * cool; n.vx *= 0.8; n.vy *= 0.8; }}
+}}
+for (let k = 0; k < 200; k++) step(1 - k / 220);
+const add = (tag, attrs, label) => {{ const e = document.createElementNS("http://www.w3.org/2000/svg", tag);
+  for (const k in attrs) e.setAttribute(k, attrs[k]); const t = document.createElementNS(e.namespaceURI, "title"); t.textContent = label; e.appendChild(t); svg.appendChild(e); return e; }};
+for (const e of links) add("line", {{x1: at[e.s].x, y1: at[e.s].y, x2: at[e.t].x, y2: at[e.t].y, stroke: "#6c757d", "stroke-opacity": 0.5, "stroke-width": e.w / 3}}, e.label);
+for (const n of nodes) add("circle", {{cx: n.x, cy: n.y, r: n.r / 4, fill: {{facility: "#c53", municipality: "#38c"}}[n.kind] || "#888"}}, n.label);
+svg.addEventListener("wheel", e => {{ e.preventDefault(); const v = svg.viewBox.baseVal, f = e.deltaY > 0 ? 1.15 : 0.87, x = v.x + v.width * e.offsetX / svg.clientWidth, y = v.y + v.height * e.offsetY / svg.clientHeight;
+  v.x = x - (x - v.x) * f; v.y = y - (y - v.y) * f; v.width *= f; v.height *= f; }});
+</script>
+"""
+
+
+def write_graph_page(vertices: DataFrame, edges: DataFrame, path: str, max_nodes: int = 900, max_edges: int = 1_200, edge_type: str = "all", title: str = "Flow network") -> dict:
+    """A page without dependencies that lays out and draws the strongest part of a graph within both limits; returns its counters."""
+    from ..operators import graph
+
+    v, e = graph.subgraph(*graph.of_type(vertices, edges, edge_type), max_nodes, max_edges)
+    size = nz.node_size(F.col("weighted_degree"))
+    drawn = v.join(graph.degrees(v, e).select("node_id", size.alias("size")), "node_id", "left").orderBy("node_id")
+    ns = [{"id": r.node_id, "r": r.size or 8.0, "kind": (r.node_type or "unknown").lower(), "label": "\n".join([r.name or r.node_id, r.node_id, r.node_type or "unknown", r.municipality_code or ""])} for r in drawn.collect()]  # at most max_nodes
+    rows = e.select("source_node_id", "target_node_id", "edge_type", "transfer_count", "confidence_score", nz.edge_width(F.col("transfer_count")).alias("w")).orderBy("source_node_id", "target_node_id")
+    es = [{"s": r.source_node_id, "t": r.target_node_id, "w": r.w, "label": f"{r.source_node_id} to {r.target_node_id}\n{r.edge_type}: {r.transfer_count}, confidence {r.confidence_score}"} for r in rows.collect()]  # at most max_edges
+    safe = lambda items: json.dumps(items).replace("</", "<\\/")
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(_GRAPH_PAGE.format(title=html.escape(title), nodes=safe(ns), edges=safe(es)))
+    return {"nodes_drawn": len(ns), "edges_drawn": len(es), "max_nodes": max_nodes, "max_edges": max_edges, "edge_type": edge_type}
+
+
+def write_bars(rows: DataFrame, x: str, y: str, path: str, title: str) -> int:
+    """A bar chart as SVG, one bar a row in the order of ``x``, heights by ``y`` on a logarithmic scale; at most 1,000 bars."""
+    bars = [(r[0], r[1]) for r in rows.select(x, F.col(y).cast("double")).orderBy(x).limit(1_001).collect()]
+    if len(bars) > 1_000:
+        raise ValueError("more than 1,000 bars")
+    top = max((math.log10(1 + (v or 0)) for _, v in bars), default=0) or 1
+    wide = 900 / max(len(bars), 1)
+    shapes = []
+    for k, (label, v) in enumerate(bars):
+        high = 380 * math.log10(1 + (v or 0)) / top
+        shapes.append(f'<rect x="{60 + k * wide:.1f}" y="{440 - high:.1f}" width="{max(wide - 1, 0.5):.1f}" height="{high:.1f}" fill="#38c"><title>{html.escape(f"{x} {label}: {v:g}")}</title></rect>')
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 1000 500" font-family="sans-serif" font-size="14"><text x="500" y="30" text-anchor="middle">{html.escape(title)}</text>')
+        f.write("".join(shapes) + f'<line x1="60" y1="440" x2="960" y2="440" stroke="#333"/><text x="500" y="475" text-anchor="middle">{html.escape(x)}</text><text x="20" y="250" transform="rotate(-90 20 250)" text-anchor="middle">{html.escape(y)}</text></svg>')
+    return len(bars)
+
+
 def write_map(nodes: DataFrame, edges: DataFrame, path: str, max_nodes: int = 5_000, max_edges: int = 2_000) -> dict:
     """The map page of the strongest edges and at most ``max_nodes`` located nodes; returns its counters."""
     from ..operators import graph

@@ -273,10 +273,10 @@ def test_components_of_the_whole_graph(spark, folder):
         if x not in strong:
             own = reached(x, after) & reached(x, before)
             strong.update(dict.fromkeys(own, max(own)))
-    got = {n: network.QUERIES[n](spark, folder).collect() for n in ("graph_wcc_all", "graph_scc_all")}
-    assert len(got["graph_wcc_all"]) == len(got["graph_scc_all"]) == len(ids)
-    assert {r.node_id: r.component for r in got["graph_wcc_all"]} == weak
-    assert {r.node_id: r.component for r in got["graph_scc_all"]} == strong
+    got = {n: network.QUERIES[n](spark, folder).collect() for n in ("graph_wcc", "graph_scc")}
+    assert len(got["graph_wcc"]) == len(got["graph_scc"]) == len(ids)
+    assert {r.node_id: r.component for r in got["graph_wcc"]} == weak
+    assert {r.node_id: r.component for r in got["graph_scc"]} == strong
 
 
 def test_rollup_and_build(spark):

@@ -150,6 +150,16 @@ def test_page_exports(spark, tmp_path):
     assert "</script>\"" not in open(f"{tmp_path}/m.html").read()
 
 
+def test_graph_page_and_plots(spark, tmp_path):
+    n = spark.createDataFrame([(f"facility:{k}", "facility", "</script>" if k == 1 else None, None) for k in range(6)], "node_id string, node_type string, name string, municipality_code string")
+    e = spark.createDataFrame([(f"facility:{k}", f"facility:{(k + 1) % 6}", "transfer", float(k), 1.0) for k in range(6)], "source_node_id string, target_node_id string, edge_type string, transfer_count double, confidence_score double")
+    assert sinks.write_graph_page(n, e, f"{tmp_path}/g.html") == {"nodes_drawn": 6, "edges_drawn": 6, "max_nodes": 900, "max_edges": 1200, "edge_type": "all"}
+    assert sinks.write_graph_page(n, e, f"{tmp_path}/g.html", 3, 1)["edges_drawn"] == 1
+    assert open(f"{tmp_path}/g.html").read().count("</script>") == 1
+    assert sinks.write_bars(graph.component_sizes(graph.weak_components(n, e)), "size", "n_components", f"{tmp_path}/p.svg", "Sizes") == 1
+    assert "<rect" in open(f"{tmp_path}/p.svg").read()
+
+
 def test_remote(spark, tmp_path):
     calls, naps = [], []
 
