@@ -171,30 +171,76 @@ def weak_components(vertices: DataFrame, edges: DataFrame, rounds: int | None =
     return vertices.select("node_id").distinct().join(root, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
 
 
+#: Chains are contracted while they hold at least this part of the vertices left.
+CHAIN_PART = 0.1
+#: Layers of trimming in one plan.
+LAYERS = 3
+
+
+def _followed(hop: DataFrame) -> DataFrame:
+    """(node_id, to): where following ``to`` from vertex to vertex ends, by pointer doubling. Every way has to end."""
+    while True:
+        ahead = hop.select(F.col("node_id").alias("to"), F.col("to").alias("_far"))
+        hop = cut(hop.join(ahead, "to", "left").select("node_id", F.coalesce("_far", "to").alias("to"), F.col("_far").isNotNull().alias("_moved")))
+        if hop.where("_moved").isEmpty():
+            return hop.select("node_id", "to")
+        hop = hop.select("node_id", "to")
+
+
+def _contracted(rest: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Takes out chain vertices, those with one way in and one way out: the rest, its links, and (node_id, before, after) of those
+    taken out. A chain vertex larger than both its neighbours stays, so that a ring doesn't vanish. None if there are too few."""
+    one_out = links.groupBy(F.col("a").alias("node_id")).agg(F.count(F.lit(1)).alias("n_out"), F.min("b").alias("after"))
+    one_in = links.groupBy(F.col("b").alias("node_id")).agg(F.count(F.lit(1)).alias("n_in"), F.min("a").alias("before"))
+    chain = one_out.join(one_in, "node_id").where("n_out = 1 AND n_in = 1 AND (node_id < after OR node_id < before)").select("node_id", "before", "after")
+    chain = cut(chain)
+    if chain.count() <= CHAIN_PART * rest.count():
+        return None
+    ahead = _followed(chain.select("node_id", F.col("after").alias("to"))).withColumnRenamed("to", "after")
+    back = _followed(chain.select("node_id", F.col("before").alias("to"))).withColumnRenamed("to", "before")
+    gone = cut(back.join(ahead, "node_id"))
+    short = links.join(gone.select(F.col("node_id").alias("a")), "a", "left_anti")
+    jump = gone.select(F.col("node_id").alias("b"), F.col("after").alias("_to"))
+    short = short.join(jump, "b", "left").select("a", F.coalesce("_to", "b").alias("b")).where("a != b").distinct()
+    return cut(rest.join(gone.select("node_id"), "node_id", "left_anti")), cut(short), gone
+
+
 def strong_components(vertices: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node_id, component): the largest id among vertices that reach each other.
 
-    Vertices without an edge in or out are their own component and are trimmed first, again and again. In what is left every
-    vertex takes the largest id that reaches it; those that lead back to that id within its colour are its component.
+    Vertices without an edge in or out are their own component and are trimmed, several layers a plan; chains are contracted by
+    pointer doubling. Both are repeated, which takes paths and trees apart in a number of rounds that grows with the logarithm of
+    their length. In what is left every vertex takes the largest id that reaches it; those that lead back to that id within its
+    colour are its component. Contracted vertices belong to their neighbours' component if both have the same.
     Goes on until every vertex has one; with ``rounds`` given, raises if some haven't by then.
     """
     spark = vertices.sparkSession
     rest = cut(vertices.select("node_id").distinct())
     links = cut(edges.select(F.col(S).alias("a"), F.col(T).alias("b")).where("a != b").distinct())
     done = [spark.createDataFrame([], "node_id string, component string")]
+    chains: list[DataFrame] = []
 
     def among(e: DataFrame, v: DataFrame) -> DataFrame:
         return e.join(v.select(F.col("node_id").alias("a")), "a", "left_semi").join(v.select(F.col("node_id").alias("b")), "b", "left_semi")
 
     for _ in _rounds(rounds):
         while True:
-            alive = links.select(F.col("a").alias("node_id")).distinct().join(links.select(F.col("b").alias("node_id")).distinct(), "node_id")
-            trimmed = cut(rest.join(alive, "node_id", "left_anti"))
-            if trimmed.isEmpty():
+            kept, inner = rest, links
+            for _layer in range(LAYERS):
+                alive = inner.select(F.col("a").alias("node_id")).distinct().join(inner.select(F.col("b").alias("node_id")).distinct(), "node_id")
+                kept, inner = kept.join(alive, "node_id", "left_semi"), among(inner, alive)
+            kept = cut(kept)
+            trimmed = cut(rest.join(kept, "node_id", "left_anti"))
+            some = not trimmed.isEmpty()
+            if some:
+                done.append(trimmed.withColumn("component", F.col("node_id")))
+                rest, links = kept, cut(among(links, kept))
+            shorter = _contracted(rest, links)
+            if shorter:
+                rest, links, gone = shorter
+                chains.append(gone)
+            if not some and not shorter:
                 break
-            done.append(trimmed.withColumn("component", F.col("node_id")))
-            rest = cut(rest.join(trimmed, "node_id", "left_anti"))
-            links = cut(among(links, rest))
         if rest.isEmpty():
             break
         colour = rest.withColumn("c", F.col("node_id"))
@@ -221,6 +267,15 @@ def strong_components(vertices: DataFrame, edges: DataFrame, rounds: int | None
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
+    for gone in reversed(chains):
+        known = cut(out)
+        of = lambda end: known.select(F.col("node_id").alias(end), F.col("component").alias(f"_{end}"))  # noqa: B023, E731
+        joined = gone.join(of("before"), "before").join(of("after"), "after")
+        out = known.unionByName(joined.select("node_id", F.when(F.col("_before") == F.col("_after"), F.col("_before")).otherwise(F.col("node_id")).alias("component")))
+    if chains:
+        out = cut(out)
+        largest = out.groupBy("component").agg(F.max("node_id").alias("_largest"))
+        out = out.join(largest, "component").select("node_id", F.col("_largest").alias("component"))
     return out
 
 

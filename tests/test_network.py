@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caudal.functions import geometry
 from caudal.functions import normalize as nz
+from caudal import session
 from caudal.operators import edges, enrich, graph, manifest, match, nodes, roles
 
 REC = "patient_id string, PA_TRANSF string, PA_MOTSAI string, PA_SEXO string, PA_IDADE string, PA_CIDPRI string, PA_CODUNI string, DT_INTER string, DT_SAIDA string"
@@ -238,13 +239,30 @@ def test_components_against_brute_force(spark):
     assert graph.weak_components(v.limit(0), e.limit(0)).count() == graph.strong_components(v.limit(0), e.limit(0)).count() == 0
 
 
+def test_paths_rings_and_lassos(spark, monkeypatch):
+    """A long path, a ring, and a ring with tails take few tables, however long they are."""
+    name = lambda k: f"n{k * 7919 % 100_003:06d}"
+    path = [(name(k), name(k + 1)) for k in range(10_000)]
+    ring = [(f"r{k:03d}", f"r{(k + 1) % 300:03d}") for k in range(300)]
+    tails = [(f"s{k:03d}", f"s{k + 1:03d}") for k in range(100)] + [("s100", "r000"), ("r150", "t000")] + [(f"t{k:03d}", f"t{k + 1:03d}") for k in range(100)]
+    links = path + ring + tails
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda df, by=None: written.append(1) or session.cut(df, by))
+    e = spark.createDataFrame(links, "source_node_id string, target_node_id string")
+    v = spark.createDataFrame([(x,) for x in {x for l in links for x in l}], "node_id string")
+    got = {r.node_id: r.component for r in graph.strong_components(v, e).collect()}
+    assert len(got) == v.count() and all(c == ("r299" if n.startswith("r") else n) for n, c in got.items())
+    assert len(written) < 200
+
+
 def test_components_are_whole_or_none(spark):
-    v, e = g(spark, [("c1", "c2", 1), ("c2", "c1", 1), ("c2", "b1", 1), ("b1", "b2", 1), ("b2", "b1", 1)])
+    whole = lambda x: [(f"{x}{i}", f"{x}{j}", 1) for i in (1, 2, 3) for j in (1, 2, 3) if i != j]
+    v, e = g(spark, [*whole("c"), ("c2", "b1", 1), *whole("b")])
     with pytest.raises(RuntimeError):
         graph.strong_components(v, e, rounds=1)
     with pytest.raises(RuntimeError):
         graph.weak_components(v, e, rounds=1)
-    assert {r.node_id: r.component for r in graph.strong_components(v, e).collect()} == {"b1": "b2", "b2": "b2", "c1": "c2", "c2": "c2"}
+    assert {r.node_id: r.component for r in graph.strong_components(v, e).collect()} == {f"{x}{i}": f"{x}3" for x in "bc" for i in (1, 2, 3)}
 
 
 def test_components_of_the_whole_graph(spark, folder):
