@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,7 +95,3 @@ def facility7(value: Column) -> Column:
     """A facility number as 7 digits: outer spaces and a trailing ``.0`` go, lost leading zeros return. Blank becomes null."""
     v = F.regexp_replace(F.trim(value), r"\.0$", "")
     return F.nullif(F.when(v.rlike(r"^\d{1,6}$"), F.lpad(v, 7, "0")).otherwise(v), F.lit(""))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

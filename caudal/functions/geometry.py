@@ -75,10 +75,3 @@ def _weighted(cs: Column) -> Column:
     weight, n = total(cs, lambda c: c["weight"]), F.size(cs)
     mean = lambda f: F.when(weight > 0, total(cs, lambda c: c[f] * c["weight"]) / weight).otherwise(total(cs, lambda c: c[f]) / n)
     return F.when(n > 0, F.struct(mean("lon").alias("lon"), mean("lat").alias("lat")))
-
-
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance; an extension, stored distances stay null."""
-    a, b = F.radians(lat1), F.radians(lat2)
-    h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 12742.0 * F.asin(F.sqrt(F.least(h, F.lit(1.0))))

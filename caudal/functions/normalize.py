@@ -119,10 +119,6 @@ def truthy_batch(x: Column) -> Column:
     return F.upper(text(x)).isin(*TRUE_UPPER) | F.coalesce(number(x) == 1, F.lit(False))
 
 
-def public_administration(level: Column, legal: Column) -> Column:
-    return (flag(level) == "1") | digits(legal).startswith("1")
-
-
 def moment(x: Column) -> Column:
     """A timestamp without zone from yyyyMMdd, yyyyMMddHHmmss, or any ISO spelling."""
     t = text(x)

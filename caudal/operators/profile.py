@@ -155,13 +155,15 @@ def _metrics(values: DataFrame, *more: Column) -> DataFrame:
 def load_profile(counts: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
     """One row per load and column. ``entropy`` is in bits over the non-blank values; ranges compare values as strings.
 
-    A column without a rule has no malformed values here; ``full_profile`` tells the two apart.
+    ``n_bad``, ``n_well`` and ``n_alt`` are null for a column without a rule.
     """
-    return _metrics(judged(counts, RULES if rules is None else rules))
+    rules = RULES if rules is None else rules
+    known = F.col("column_name").isin(*rules) if rules else F.lit(False)
+    return _metrics(judged(counts, rules)).withColumns({c: F.when(known, F.col(c)) for c in ("n_bad", "n_well", "n_alt")})
 
 
 def full_profile(counts: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
-    """``load_profile`` where ``n_bad``, ``n_well`` and ``n_alt`` are null for a column without a rule.
+    """``load_profile`` with ranges of what the values mean.
 
     ``low`` and ``high`` are the range of the well-formed values (without a rule, of all) whatever their writing: numbers by size,
     days and moments by time, the rest as text.

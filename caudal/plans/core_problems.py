@@ -206,12 +206,13 @@ UNION ALL SELECT load_id, 'munic_res', 'region_change', 0 FROM gr WHERE d >= 0.4
 
 
 def _profile_sql(cells: str) -> str:
+    known = f"column_name IN ({', '.join(repr(c) for c in _WELL)})"
     return f"""
 WITH cells AS ({cells}),
 c AS (SELECT load_id, column_name, v, any_value(well) AS well, any_value(alt) AS alt, count(*) AS n FROM cells GROUP BY 1, 2, 3)
 SELECT load_id, column_name, CAST(sum(n) AS BIGINT) AS n_rows, CAST(coalesce(sum(n) FILTER (v IS NULL), 0) AS BIGINT) AS n_blank, count(v) AS n_distinct,
-  min(v) AS min_value, max(v) AS max_value, CAST(coalesce(sum(n) FILTER (well = false), 0) AS BIGINT) AS n_bad,
-  CAST(coalesce(sum(n) FILTER (well), 0) AS BIGINT) AS n_well, CAST(coalesce(sum(n) FILTER (well AND alt), 0) AS BIGINT) AS n_alt,
+  min(v) AS min_value, max(v) AS max_value, CASE WHEN {known} THEN CAST(coalesce(sum(n) FILTER (well = false), 0) AS BIGINT) END AS n_bad,
+  CASE WHEN {known} THEN CAST(coalesce(sum(n) FILTER (well), 0) AS BIGINT) END AS n_well, CASE WHEN {known} THEN CAST(coalesce(sum(n) FILTER (well AND alt), 0) AS BIGINT) END AS n_alt,
   CAST(coalesce(max(n) FILTER (v IS NOT NULL), 0) AS BIGINT) AS n_top,
   round(greatest(coalesce(log2(sum(n) FILTER (v IS NOT NULL)) - sum(n * log2(n)) FILTER (v IS NOT NULL) / (sum(n) FILTER (v IS NOT NULL)), 0), 0), 6) AS entropy
 FROM c GROUP BY 1, 2

@@ -13,7 +13,7 @@ from ..functions import geometry
 from ..functions import normalize as nz
 from ..operators import edges as ed
 from ..operators import drift, enrich, graph, manifest, match, nodes, roles
-from ..session import cut, table
+from ..session import table
 from ..sources import sinks
 
 QUERIES: dict = {}

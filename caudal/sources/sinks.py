@@ -65,10 +65,6 @@ def page_edges(edges: DataFrame) -> DataFrame:
     )
 
 
-def write_json_lines(df: DataFrame, path: str) -> None:
-    """A folder of JSON lines from the executors; keys of null values are written."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
-
 
 def write_json_lines_file(df: DataFrame, path: str) -> None:
     """One file of JSON lines, streamed through the driver; keys of null values are written."""

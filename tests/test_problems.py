@@ -84,7 +84,7 @@ def test_profile_and_signed_deltas(spark):
     m = p[1, "munic_res"]
     assert (m.n_rows, m.n_blank, m.n_distinct, m.n_bad, m.n_well, m.n_top, m.min_value, m.max_value) == (5, 2, 2, 1, 2, 2, "350000", "99")
     assert m.entropy == pytest.approx(-(2 / 3 * math.log2(2 / 3) + 1 / 3 * math.log2(1 / 3)), abs=1e-6)
-    assert p[2, "munic_res"].n_alt == 1 and p[1, "n"].n_bad == 0
+    assert p[2, "munic_res"].n_alt == 1 and p[1, "n"].n_bad is None
     taken = profile.apply_deltas(store, profile.value_deltas(df.where("load_id = 1"), ["munic_res", "n"], sign=-1))
     assert {r.load_id for r in taken.collect()} == {2}
     assert profile.load_profile(profile.value_deltas(df.limit(0), ["n"])).count() == 0
