@@ -103,6 +103,21 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.schema_changes(table(spark, d, "raw_records")).select("file_id", "change_kind", "field_name", "prior_name")
 
 
+def p4_retyped(spark: SparkSession, d: str) -> DataFrame:
+    """The changes of how a field is written, with both writings."""
+    changes = drift.schema_changes(table(spark, d, "raw_records")).where("change_kind = 'retyped'")
+    return changes.select("stream_id", "file_id", "field_name", "prior_writing", "new_writing")
+
+
+def p4_field_moves(spark: SparkSession, d: str) -> DataFrame:
+    """Names that come and go, whether renamed or not: ``come`` and ``gone`` as sorted lists per file."""
+    changes = drift.schema_changes(table(spark, d, "raw_records")).where("change_kind != 'retyped'")
+    come = F.when(F.col("change_kind") != "removed", F.col("field_name"))
+    gone = F.when(F.col("change_kind") == "removed", F.col("field_name")).when(F.col("change_kind") == "renamed", F.col("prior_name"))
+    lists = changes.groupBy("stream_id", "file_id").agg(F.array_sort(F.collect_list(come)).alias("come"), F.array_sort(F.collect_list(gone)).alias("gone"))
+    return lists.select("stream_id", "file_id", F.array_join("come", ",").alias("come"), F.array_join("gone", ",").alias("gone"))
+
+
 def p4_unified(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "raw_records")
     counts = cut(drift.cell_counts(raw, True))
@@ -148,7 +163,7 @@ def p5_top_targets(spark: SparkSession, d: str) -> DataFrame:
     return top.withColumnRenamed("strength", "sum_transfer_count")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p2_snapshots, p3_found, p3_profile, p3_profile_all, p3_changes_all, p3_deltas, p4_found, p4_unified, p4_versions, p5_found, p5_totals, p5_top_targets)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p2_snapshots, p3_found, p3_profile, p3_profile_all, p3_changes_all, p3_deltas, p4_found, p4_retyped, p4_field_moves, p4_unified, p4_versions, p5_found, p5_totals, p5_top_targets)}
 
 
 # --- SQL -----------------------------------------------------------------------------------------------------------------
@@ -229,7 +244,7 @@ _FAC = "nullif(CASE WHEN regexp_full_match({v}, '[0-9]{{1,6}}') THEN lpad({v}, 7
 _SRC = _FAC.format(v="regexp_replace(trim(source_facility_id), '\\.0$', '')")
 _TGT = _FAC.format(v="regexp_replace(trim(target_location_id), '\\.0$', '')")
 
-_P4_VERSIONS = r"""
+_P4_FIELDS = r"""
 WITH lines AS (SELECT stream_id, file_id, payload, unnest(json_keys(payload)) AS field FROM raw_records
   WHERE json_valid(payload) AND json_type(payload) = 'OBJECT' AND len(json_keys(payload)) = len(list_distinct(json_keys(payload)))),
 cells AS (SELECT stream_id, file_id, field, json_type(payload, '$."' || field || '"') AS t, json_extract_string(payload, '$."' || field || '"') AS v FROM lines),
@@ -238,7 +253,18 @@ w AS (SELECT stream_id, file_id, field, CASE WHEN t = 'NULL' THEN NULL WHEN t IN
   WHEN regexp_full_match(v, '[-+]?[0-9]+,[0-9]+') THEN 'decimal comma' WHEN regexp_full_match(v, '[0-9]+(-[0-9]+)+') THEN 'dashes'
   WHEN regexp_full_match(v, '[0-9]+(/[0-9]+)+') THEN 'slashes' WHEN regexp_full_match(v, '[0-9./,-]+') THEN 'punctuation' ELSE 'text' END AS w FROM cells),
 n AS (SELECT stream_id, file_id, field, w, count(w) AS n FROM w GROUP BY ALL),
-u AS (SELECT stream_id, file_id, field, w FROM n QUALIFY row_number() OVER (PARTITION BY stream_id, file_id, field ORDER BY n DESC, w DESC) = 1),
+u AS (SELECT stream_id, file_id, field, w FROM n QUALIFY row_number() OVER (PARTITION BY stream_id, file_id, field ORDER BY n DESC, w DESC) = 1)
+"""
+_P4_RETYPED = _P4_FIELDS + """
+SELECT a.stream_id, a.file_id, a.field AS field_name, b.w AS prior_writing, a.w AS new_writing FROM u a JOIN u b ON a.stream_id = b.stream_id AND a.file_id = b.file_id + 1 AND a.field = b.field WHERE a.w <> b.w
+"""
+_P4_MOVES = _P4_FIELDS + """,
+f AS (SELECT DISTINCT stream_id, file_id FROM u), two AS (SELECT a.stream_id, a.file_id FROM f a JOIN f b ON a.stream_id = b.stream_id AND a.file_id = b.file_id + 1),
+c AS (SELECT two.*, u.field, true AS come FROM two JOIN u USING (stream_id, file_id) WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.stream_id = two.stream_id AND b.file_id = two.file_id - 1 AND b.field = u.field)
+  UNION ALL SELECT two.*, b.field, false FROM two JOIN u b ON b.stream_id = two.stream_id AND b.file_id = two.file_id - 1 WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.stream_id = two.stream_id AND u.file_id = two.file_id AND u.field = b.field))
+SELECT stream_id, file_id, coalesce(string_agg(field, ',' ORDER BY field) FILTER (come), '') AS come, coalesce(string_agg(field, ',' ORDER BY field) FILTER (NOT come), '') AS gone FROM c GROUP BY 1, 2
+"""
+_P4_VERSIONS = _P4_FIELDS + """,
 p AS (SELECT stream_id, file_id, sha1(array_to_string(list_sort(list(field || '=' || coalesce(w, 'null'))), chr(10))) AS fingerprint, count(*) AS n_fields FROM u GROUP BY ALL),
 c AS (SELECT *, CASE WHEN lag(fingerprint) OVER (PARTITION BY stream_id ORDER BY file_id) IS NOT DISTINCT FROM fingerprint THEN 0 ELSE 1 END AS c FROM p)
 SELECT stream_id, file_id, fingerprint, n_fields, CAST(sum(c) OVER (PARTITION BY stream_id ORDER BY file_id) AS BIGINT) AS schema_version FROM c
@@ -259,6 +285,8 @@ FROM s GROUP BY 1, 2, 3
 
 SQL = {
     "p2_snapshots": _P2_SNAPSHOTS,
+    "p4_retyped": _P4_RETYPED,
+    "p4_field_moves": _P4_MOVES,
     "p4_versions": _P4_VERSIONS,
     "p2_found": f"SELECT table_name, row_key, ref_column FROM ({_REFS}) r WHERE NOT {_ALIVE}",
     "p2_counts": f"SELECT table_name, cmpt, count(*) AS n_refs, count(*) FILTER (NOT {_ALIVE}) AS n_orphans FROM ({_REFS}) r GROUP BY 1, 2",
