@@ -156,11 +156,21 @@ def _from_start(a: np.ndarray, b: np.ndarray, whole: bool) -> np.ndarray:
     return _trace(h, a, b, *((n, m) if whole else divmod(int(h.argmax()), m + 1)), False, wrong)
 
 
-def anchors(ha: np.ndarray, hb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sorted_windows(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all ANCHOR characters in a row, in order, and their places."""
+    h = windows(text, ANCHOR)
+    order = np.argsort(h, kind="stable")
+    return h[order], order
+
+
+def anchors(ha: np.ndarray, page: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of ANCHOR or more equal characters: where they begin in item and page, and their lengths, in page order."""
-    order = np.argsort(hb, kind="stable")
-    lo, hi = np.searchsorted(hb[order], ha, "left"), np.searchsorted(hb[order], ha, "right")
-    n = hi - lo
+    hb, order = page
+    lo = np.searchsorted(hb, ha, "left")
+    n = np.zeros(len(ha), dtype=np.int64)
+    if len(hb):
+        met = np.flatnonzero(hb[np.minimum(lo, len(hb) - 1)] == ha)
+        n[met] = np.searchsorted(hb, ha[met], "right") - lo[met]
     i = np.repeat(np.arange(len(ha)), n)
     j = order[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if len(i) else np.zeros(0, dtype=np.int64)
     by = np.lexsort((i, j - i))
@@ -284,7 +294,7 @@ def _covers(i: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> boo
     return bool((hit[hi] - hit[lo] >= COVERED * (hi - lo)).any())
 
 
-def printed_words(a: np.ndarray, ha: np.ndarray, ends: np.ndarray, b: np.ndarray, hb: np.ndarray, least_words: int) -> int:
+def printed_words(a: np.ndarray, ha: np.ndarray, ends: np.ndarray, b: np.ndarray, hb: tuple[np.ndarray, np.ndarray], least_words: int) -> int:
     """The longest run of words of an item on a page. Chains are tried from the best on, as long as one of their score can hold
     enough words."""
     if len(ends) < least_words:
@@ -358,8 +368,10 @@ def _met(docs: DataFrame, seed_bits: np.ndarray, long_bits: np.ndarray) -> DataF
             long = _in(longs, long_windows(h))
             inside = np.concatenate([np.zeros(2 * STRIDE, dtype=bool), long, np.zeros(2 * STRIDE, dtype=bool)])
             within = inside[at + 2 * STRIDE] | inside[at]
-            by = np.lexsort((~within, h[at], page))
-            page, seed, within = page[by], h[at][by], within[by]
+            seed = h[at]
+            # one key to sort by: page, most of the seed, whether it strays
+            by = np.argsort((page.astype(np.uint64) << np.uint64(40)) | ((seed >> np.uint64(25)) << np.uint64(1)) | (~within).astype(np.uint64))
+            page, seed, within = page[by], seed[by], within[by]
             new = np.ones(len(page), dtype=bool)
             new[1:] = (np.diff(page) != 0) | (seed[1:] != seed[:-1])
             yield pa.record_batch([b["doc_id"].take(pa.array(page[new])), pa.array(seed[new].view(np.int64)), pa.array(~within[new])], names=["doc_id", "seed", "stray"])
@@ -400,7 +412,7 @@ def _verified(pairs: DataFrame, least_words: int) -> DataFrame:
             for doc, text, edges, item, stream, ends in zip(b["doc_id"], b["text"], b["edges"], b["item_id"], b["stream"], b["ends"]):
                 if last is None or last[0] != doc or last[1] != text:
                     page = codes(page_stream(text, edges))
-                    last = (doc, text, page, windows(page, ANCHOR))
+                    last = (doc, text, page, sorted_windows(page))
                 if item not in known:
                     if len(known) >= 1_000:
                         known.clear()
