@@ -36,7 +36,7 @@ STRIDE = 7
 LONG = SEED + 2 * STRIDE
 RARE = 1 / 128
 #: A candidate's separate seeds must weigh as much as this many that never stray.
-LEAST_UNIQUE = 1.2
+LEAST_UNIQUE = 1.5
 LEAST_WORDS = 15
 #: The bitmap has about this many bits a seed, and at most so many in all (32 MB).
 BITS_A_SEED, MOST_BITS = 64, 1 << 28
