@@ -109,20 +109,50 @@ class Linear:
     earlier: np.ndarray  # of the earlier categories' probabilities
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, value: np.ndarray, earlier: np.ndarray, y: np.ndarray, use: np.ndarray) -> Linear:
+class Pages:
+    """Which features each page has, by page and by feature, so that sums over either run over neighbours in memory."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, value: np.ndarray, n: int) -> None:
+        """``rows`` ascend; ``value`` has one number a feature."""
+        self.value, self.n = value, n
+        self.cols, self.x = cols, value[cols]
+        by = np.argsort(cols, kind="stable")
+        self.rows, self.x_by_col = rows[by], value[cols[by]]
+        self.row_starts, self.col_starts = self._starts(rows, n), self._starts(cols[by], len(value))
+
+    @staticmethod
+    def _starts(sorted_: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        first = np.searchsorted(sorted_, np.arange(n + 1))
+        some = np.flatnonzero(np.diff(first))
+        return some, first[some]
+
+    @staticmethod
+    def _sums(v: np.ndarray, starts: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+        out = np.zeros(n)
+        if len(starts[0]):
+            out[starts[0]] = np.add.reduceat(v, starts[1])
+        return out
+
+    def per_page(self, w: np.ndarray) -> np.ndarray:
+        return self._sums(w[self.cols] * self.x, self.row_starts, self.n)
+
+    def per_feature(self, e: np.ndarray) -> np.ndarray:
+        return self._sums(e[self.rows] * self.x_by_col, self.col_starts, len(self.value))
+
+
+def fit(pages_: Pages, earlier: np.ndarray, y: np.ndarray, use: np.ndarray) -> Linear:
     """Logistic regression with an L2 penalty by adaptive gradient steps, on the pages where ``use`` is 1."""
-    nv, n = len(value), len(y)
+    nv = len(pages_.value)
     w, v, b = np.zeros(nv), np.zeros(earlier.shape[1]), -2.0
     gw, gv, gb = np.full(nv, 1e-6), np.full(len(v), 1e-6), 1e-6
-    x = value[cols]
     for _ in range(STEPS):
-        z = np.bincount(rows, w[cols] * x, minlength=n) + earlier @ v + b
+        z = pages_.per_page(w) + earlier @ v + b
         e = (_sigmoid(z) - y) * use
-        d = np.bincount(cols, e[rows] * x, minlength=nv) + L2 * w
+        d = pages_.per_feature(e) + L2 * w
         dv, db = earlier.T @ e + L2 * v, e.sum()
         gw, gv, gb = gw + d * d, gv + dv * dv, gb + db * db
         w, v, b = w - 0.3 * d / np.sqrt(gw), v - 0.3 * dv / np.sqrt(gv), b - 0.3 * db / np.sqrt(gb)
-    return Linear(w * value, float(b), v)
+    return Linear(w * pages_.value, float(b), v)
 
 
 class Chain:
@@ -148,6 +178,7 @@ class Chain:
         page, one, two = flat
         seen = np.unique(np.concatenate([page[one >= 0] * (len(self.features.value) + 1) + one[one >= 0], page[two >= 0] * (len(self.features.value) + 1) + two[two >= 0]]))
         rows, cols = np.divmod(seen, len(self.features.value) + 1)
+        matrix = Pages(rows, cols, self.features.value, n)
         fold = np.arange(n) % FOLDS
         self.models: list[Linear] = []
         self.thresholds: list[float] = []
@@ -156,10 +187,10 @@ class Chain:
             y, earlier = marks[:, c], out_of_fold[:, :c]
             z = np.zeros(n)
             for k in range(FOLDS):
-                m = fit(rows, cols, self.features.value, earlier, y, (fold != k).astype(float))
+                m = fit(matrix, earlier, y, (fold != k).astype(float))
                 z = np.where(fold == k, worst_windows(n, flat, m.weight) + earlier @ m.earlier + m.bias, z)
             out_of_fold[:, c] = _sigmoid(z)
-            self.models.append(fit(rows, cols, self.features.value, earlier, y, np.ones(n)))
+            self.models.append(fit(matrix, earlier, y, np.ones(n)))
             self.thresholds.append(best_threshold(out_of_fold[:n_marked, c], y[:n_marked]))
         self.out_of_fold = out_of_fold[:n_marked]
 
