@@ -25,7 +25,7 @@ class Rule:
     """
 
     parsed: Callable[[Column], Column]
-    alternative: Callable[[Column], Column] = lambda v: F.lit(False)
+    alternative: Callable[[Column], Column] | None = None
     region: Callable[[Column], Column] | None = None
     numeric: bool = False
 
@@ -81,7 +81,7 @@ def apply_deltas(store: DataFrame | None, deltas: DataFrame) -> DataFrame:
 
 
 class ValueStore:
-    """Value counts kept under a folder that all executors share, a table per column, a layer per delivery.
+    """Value counts kept under a folder that all executors share, a layer per delivery.
 
     ``apply`` costs as much as its delivery; one that is applied again under its name replaces itself. ``compact`` adds the layers up.
     """
@@ -91,24 +91,23 @@ class ValueStore:
         self.deliveries: list[str] = []
 
     def apply(self, deltas: DataFrame, delivery: str) -> None:
-        rows = deltas.select(*KEYS, "value", "n")
-        rows.sortWithinPartitions("column_name", "load_id").write.mode("overwrite").partitionBy("column_name").parquet(f"{self.path}/{delivery}")
+        deltas.select(*KEYS, "value", "n").write.mode("overwrite").parquet(f"{self.path}/{delivery}")
         if delivery not in self.deliveries:
             self.deliveries.append(delivery)
 
     def counts(self) -> DataFrame:
         """(load_id, column_name, value, n) after all deliveries; values whose count became 0 are gone."""
-        schema = "load_id long, value string, n long, column_name string"
+        schema = "load_id long, column_name string, value string, n long"
         store = None
         for d in self.deliveries:
-            layer = self.spark.read.schema(schema).parquet(f"{self.path}/{d}").select(*KEYS, "value", "n")
+            layer = self.spark.read.schema(schema).parquet(f"{self.path}/{d}")
             store = apply_deltas(store, layer)
-        return self.spark.createDataFrame([], schema).select(*KEYS, "value", "n") if store is None else store
+        return self.spark.createDataFrame([], schema) if store is None else store
 
     def compact(self) -> None:
         if len(self.deliveries) > 1:
             name = f"{self.deliveries[-1]}-all"
-            self.counts().sortWithinPartitions("column_name", "load_id").write.mode("overwrite").partitionBy("column_name").parquet(f"{self.path}/{name}")
+            self.counts().write.mode("overwrite").parquet(f"{self.path}/{name}")
             self.deliveries = [name]
 
 
@@ -127,7 +126,7 @@ def judged(counts: DataFrame, rules: dict[str, Rule]) -> DataFrame:
     known = F.col("column_name").isin(*rules) if rules else F.lit(False)
     well = F.when(v.isNotNull() & known, _by_column(rules, lambda r: r.parsed(v).isNotNull(), F.lit(True)))
     out = counts.withColumn("well", well)
-    out = out.withColumn("alt", F.col("well") & _by_column(rules, lambda r: r.alternative(v), F.lit(False)))
+    out = out.withColumn("alt", F.col("well") & _by_column(rules, lambda r: r.alternative(v) if r.alternative else None, F.lit(False)))
     return out.withColumn("region", F.when(F.col("well"), _by_column(rules, lambda r: r.region(v) if r.region else None, F.lit(None).cast("string"))))
 
 
@@ -174,7 +173,7 @@ def full_profile(counts: DataFrame, rules: dict[str, Rule] | None = None) -> Dat
     # each value is parsed once; what follows is taken from its text
     values = counts.withColumn("_text", _by_column(rules, lambda r: r.parsed(v).cast("string"), v))
     values = values.withColumn("well", F.when(v.isNotNull() & known, F.col("_text").isNotNull()))
-    values = values.withColumn("alt", F.col("well") & _by_column(rules, lambda r: r.alternative(v), F.lit(False)))
+    values = values.withColumn("alt", F.col("well") & _by_column(rules, lambda r: r.alternative(v) if r.alternative else None, F.lit(False)))
     numeric = [c for c, r in rules.items() if r.numeric]
     size = F.when(F.col("column_name").isin(*numeric), F.col("_text").cast("decimal(28,2)")) if numeric else F.lit(None).cast("decimal(28,2)")
     values = values.withColumn("_at", F.when(F.col("_text").isNotNull(), F.struct(size.alias("size"), F.col("_text").alias("text"))))
@@ -207,7 +206,8 @@ def region_shares(counts: DataFrame, rules: dict[str, Rule]) -> DataFrame:
 def load_changes(counts: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
     """(load_id, column_name, finding) wherever a column changed against the load before. Shares are compared with 1e-9 slack."""
     rules = RULES if rules is None else rules
-    p = load_profile(counts, rules)
+    # only columns with a second writing can change their form; the values of the others needn't be judged
+    p = load_profile(counts, {c: r for c, r in rules.items() if r.alternative})
     a = p.select(*KEYS, "n_rows", "n_blank", "n_top", "n_well", "n_alt")
     b = a.select((F.col("load_id") + 1).alias("load_id"), "column_name", *[F.col(c).alias(f"p_{c}") for c in a.columns[2:]])
 
