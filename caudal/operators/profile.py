@@ -164,7 +164,7 @@ def load_profile(counts: DataFrame, rules: dict[str, Rule] | None = None) -> Dat
 def full_profile(counts: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
     """``load_profile`` with ranges of what the values mean.
 
-    ``low`` and ``high`` are the range of the well-formed values (without a rule, of all) whatever their writing: numbers by size,
+    Numbers too long for a double are told apart by their text. ``low`` and ``high`` are the range of the well-formed values (without a rule, of all) whatever their writing: numbers by size,
     days and moments by time, the rest as text.
     """
     rules = ALL_RULES if rules is None else rules
@@ -175,7 +175,7 @@ def full_profile(counts: DataFrame, rules: dict[str, Rule] | None = None) -> Dat
     values = values.withColumn("well", F.when(v.isNotNull() & known, F.col("_text").isNotNull()))
     values = values.withColumn("alt", F.col("well") & _by_column(rules, lambda r: r.alternative(v) if r.alternative else None, F.lit(False)))
     numeric = [c for c, r in rules.items() if r.numeric]
-    size = F.when(F.col("column_name").isin(*numeric), F.col("_text").cast("decimal(28,2)")) if numeric else F.lit(None).cast("decimal(28,2)")
+    size = F.when(F.col("column_name").isin(*numeric), F.col("_text").cast("double")) if numeric else F.lit(None).cast("double")
     values = values.withColumn("_at", F.when(F.col("_text").isNotNull(), F.struct(size.alias("size"), F.col("_text").alias("text"))))
     p = _metrics(values, F.min("_at").alias("_low"), F.max("_at").alias("_high"))
     p = p.withColumns({c: F.when(known, F.col(c)) for c in ("n_bad", "n_well", "n_alt")})
