@@ -2,13 +2,12 @@
 
 1. Candidate graph: records share an edge if they agree on a pair of partial attributes (blocks such as birth day and residence,
    tail of the admission number and arrival). An edge is worth the bits of the blocks it shares, rare ones more.
-   A block with more than ``HOT_SIDE`` rows on either side and more than ``HOT_PAIRS`` pairs is refined by parts of the attributes
-   that aren't its own (``PARTS``, halves, so that one wrong character leaves a half), again and again while a key stays hot.
-   A pair is only left out if more than ``HOT_SIDE`` stays agree with more than ``HOT_SIDE`` notices in just the parts that the
-   two agree in; nothing then tells the stay from the others, and a tie links nobody.
+   A block with more than ``HOT_SIDE`` rows on either side and more than ``HOT_PAIRS`` pairs is hot: its pairs are never stored, but
+   judged where they meet (``_with_hot``). That is another way to the same edges, however large a block is; no pair is left out.
 2. Meta-blocking: edges far below the best edge of their notice are pruned.
 3. Evidence: every attribute of a surviving edge is compared, near misses weigh less than agreement, contradictions count
-   against. Agreement counts in full if the rarest block shared is rare, less as the block is common (``RARE_PART``).
+   against. Agreement counts in full if the rarest block shared is rare, less as the block is common (``RARE_PART``). An edge that
+   this much speaks against (``FLOOR``) is none, in a block of any size: support adds at most ``SUPPORT``, so it could never be a match.
 4. Propagation: lines of the same admission number are one stay, and notices of one stay support each other, while rival stays
    of a notice weaken each other. Repeated until no score moves by more than ``STABLE``; from ``WHOLE_STEPS`` rounds on each step
    is half the one before, so that scores that would swing come to rest.
@@ -28,9 +27,12 @@ from pyspark.sql import functions as F
 from ..functions import fields
 from ..session import cut
 
-HOT_PAIRS, HOT_SIDE = 2_000, 8
+#: From here on the pairs of a block are judged in tiles of ``TILE`` rows a side; these numbers change the way, never the edges.
+HOT_PAIRS, HOT_SIDE, TILE = 2_000, 8, 4_096
 #: An edge must be worth this part of the best edge of its notice.
 PRUNE = 0.34
+#: The evidence an edge must exceed; at or below it no belief is above 4e-6.
+FLOOR = -10.0
 WHOLE_STEPS, STABLE = 4, 0.05
 SUPPORT, RIVALRY = 1.0, 2.0
 #: Score from which an edge is a match, and the lead it needs over the best other stay of its notice.
@@ -128,11 +130,6 @@ BLOCKS: dict[str, tuple[str, str]] = {
 }
 #: The low bits of a block key are the number of its block.
 BLOCK_BITS = 3
-#: Parts of attributes that refine hot blocks, those that tell least first: attribute, first character, length.
-PARTS = [
-    ("sex", 1, 1), ("age", 1, 3), ("arrival", 1, 10), ("place", 1, 3), ("place", 4, 3), ("ymd", 1, 3), ("ymd", 4, 3), ("post", 1, 4), ("post", 5, 4),
-    ("tail", 1, 2), ("tail", 3, 3), ("cid", 1, 3), ("number", 1, 13),
-]
 
 
 def _keys(rows: DataFrame, row_id: str, slack: int) -> DataFrame:
@@ -146,62 +143,59 @@ def _keys(rows: DataFrame, row_id: str, slack: int) -> DataFrame:
     return rows.select(row_id, F.explode(F.array_compact(F.array(*hashes))).alias("key"))
 
 
-def _parts(rows: DataFrame, row_id: str, age_slack: int, arrival_slack: int) -> DataFrame:
-    """(row_id, parts): an array of (number of the part, hash of its value), without nulls."""
-    out = []
-    for number, (attribute, first, length) in enumerate(PARTS):
-        if attribute == "arrival":
-            values = [F.date_add("arrival", k).cast("string") for k in range(-arrival_slack, arrival_slack + 1)]
-        elif attribute == "age":
-            values = [(F.col("age") + k).cast("string") for k in range(-age_slack, age_slack + 1)]
-        else:
-            values = [F.substring(attribute, first, length)]
-        out += [F.when(v.isNotNull(), F.struct(F.lit(number).alias("part"), F.xxhash64(v).alias("value"))) for v in values]
-    return rows.select(row_id, F.array_compact(F.array(*out)).alias("parts"))
+def _tiled(near: DataFrame, far: DataFrame, sizes: DataFrame, far_id: str) -> DataFrame:
+    """``near`` joined to ``far`` by key. The pairs of a key are spread over tiles, so no task holds all of a large one."""
+    tiles = sizes.select("key", F.ceil(F.col("n_notices") / TILE).alias("_h"), F.ceil(F.col("n_stays") / TILE).alias("_w"))
+    at = lambda c, n: F.pmod(F.xxhash64(c), n)
+    along = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    left = near.join(tiles, "key").select(*near.columns, at("notice_id", F.col("_h")).alias("_i"), along(F.col("_w")).alias("_j"))
+    right = far.join(tiles, "key").select(*far.columns, at(far_id, F.col("_w")).alias("_j"), along(F.col("_h")).alias("_i"))
+    return left.join(right, ["key", "_i", "_j"]).drop("_i", "_j")
 
 
-def _sized(near: DataFrame, far: DataFrame) -> DataFrame:
-    """(key, hot) of the keys that both sides have. Either side holds a row at most once a key."""
-    a = near.groupBy("key").agg(F.count(F.lit(1)).alias("n_notices"))
-    b = far.groupBy("key").agg(F.count(F.lit(1)).alias("n_stays"))
-    return a.join(b, "key").select("key", ((F.col("n_stays") * F.col("n_notices") > HOT_PAIRS) & (F.least("n_stays", "n_notices") > HOT_SIDE)).alias("hot"))
+def _with_hot(cold: DataFrame, near: DataFrame, far: DataFrame, sizes: DataFrame, notices: DataFrame, stays: DataFrame, n_stays: int) -> DataFrame:
+    """All edges, pruned: those of ``cold`` with the bits of the hot keys that they share too, and those that share only hot keys.
 
-
-def _refined(near: DataFrame, far: DataFrame, notices: DataFrame, stays: DataFrame) -> DataFrame:
-    """(notice_id, line, block, bits) of the pairs of hot keys that agree in further parts.
-
-    ``near`` (notice_id, key, bits) and ``far`` (line, key) are the rows of hot keys. Parts are taken in ascending order, so each set
-    of parts makes one key, and only keys that are hot go on.
+    ``cold`` (notice_id, line, bits, rarest) are the edges of the other keys by these keys alone; ``near`` (notice_id, key, bits) and
+    ``far`` (line, key) the rows of hot keys, ``sizes`` (key, n_notices, n_stays). Pairs of hot keys that are pruned or don't
+    exceed ``FLOOR`` are dropped in the task where they meet, and are neither shuffled nor written.
     """
-    own = F.element_at(F.array(*[F.lit(sum(1 << i for i, p in enumerate(PARTS) if p[0] in pair)) for pair in BLOCKS.values()]), (F.col("key").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) + 1).cast("int"))
-    n_parts = cut(_parts(notices.join(near.select("notice_id").distinct(), "notice_id", "left_semi"), "notice_id", 1, ARRIVAL_SLACK))
-    s_parts = cut(_parts(stays.dropDuplicates(["line"]).join(far.select("line").distinct(), "line", "left_semi"), "line", 0, 0).withColumn("same", F.xxhash64("parts")))
-    # of lines alike in all parts two stand for all: they tie, and a third changes nothing
-    some = far.join(s_parts.select("line", "same"), "line").groupBy("key", "same").agg(F.array_distinct(F.array(F.min("line"), F.max("line"))).alias("_l"))
-    far = some.select("key", F.explode("_l").alias("line")).withColumns({"own": own, "last": F.lit(-1)})
-    near = near.withColumns({"own": own, "last": F.lit(-1), "block": F.col("key")})
-    out = near.sparkSession.createDataFrame([], "notice_id long, line long, block long, bits double")
-    while True:
-        def step(rows: DataFrame, parts: DataFrame, row_id: str) -> DataFrame:
-            keep = [c for c in rows.columns if c not in ("key", "last")]
-            each = rows.join(parts.select(row_id, "parts"), row_id).select(*keep, "key", "last", F.explode("parts").alias("_p"))
-            free = each.where((F.col("_p.part") > F.col("last")) & (F.call_function("shiftright", F.col("own"), F.col("_p.part")).bitwiseAND(F.lit(1)) == 0))
-            return free.select(*keep, F.xxhash64("key", "_p.part", "_p.value").alias("key"), F.col("_p.part").alias("last"))
-
-        near = cut(step(near, n_parts, "notice_id"))
-        far = cut(step(far, s_parts, "line").join(near.select("key").distinct(), "key", "left_semi"))
-        sizes = cut(_sized(near, far))
-        pairs = near.join(sizes.where("NOT hot").select("key"), "key").join(far.select("key", "line"), "key")
-        out = out.unionByName(cut(pairs.select("notice_id", "line", "block", "bits").distinct()))
-        hot = sizes.where("hot").select("key")
-        if hot.isEmpty():
-            return out.distinct()
-        near, far = near.join(hot, "key"), far.join(hot, "key")
+    worths = cut(near.groupBy("notice_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "bits"))).alias("worths")))
+    lists = cut(far.groupBy("line").agg(F.sort_array(F.collect_list("key")).alias("keys")))
+    far = cut(far.join(lists, "line"))
+    shared = F.array_compact(F.transform("keys", lambda k: F.try_element_at("worths", k)))
+    total = F.aggregate("shared", F.lit(0.0), lambda a, x: a + x)
+    both = cold.join(worths, "notice_id", "left").join(lists, "line", "left").withColumn("shared", F.coalesce(shared, F.array().cast("array<double>")))
+    cold = cut(both.select("notice_id", "line", (F.col("bits") + total).alias("bits"), F.greatest("rarest", F.array_max("shared")).alias("rarest")))
+
+    def ways(best: DataFrame) -> DataFrame:
+        """The rows of ``near`` without the blocks that together aren't worth enough to stand beside the best edge of the notice: an
+        edge that is kept shares one of the other keys."""
+        block = F.col("key").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+        top = near.groupBy("notice_id", block.alias("block")).agg(F.max("bits").alias("top"))
+        reach = F.sum("top").over(Window.partitionBy("notice_id").orderBy("top", "block").rowsBetween(Window.unboundedPreceding, 0))
+        enough = top.withColumn("reach", reach).join(best, "notice_id", "left").where(F.col("reach") + 1e-6 >= PRUNE * F.coalesce("best", F.lit(0.0)))
+        rows = cut(near.withColumn("block", block).join(enough.select("notice_id", "block"), ["notice_id", "block"]).select("notice_id", "key"))
+        return rows.join(rows.groupBy("notice_id").agg(F.collect_list("key").alias("via")), "notice_id").join(worths, "notice_id")
+
+    # the best edge needs no stays, only the lists of keys that they have
+    of_cold = cold.groupBy("notice_id").agg(F.max("bits").alias("best"))
+    of_hot = _tiled(ways(of_cold), far.select("key", "keys").distinct(), sizes, "keys").withColumn("shared", shared).groupBy("notice_id").agg(F.max(total).alias("best"))
+    best = cut(of_cold.unionByName(of_hot).groupBy("notice_id").agg(F.max("best").alias("best")))
+
+    left = ways(best).join(best, "notice_id").join(notices.select("notice_id", *[F.col(c).alias(f"n_{c}") for c in ATTRIBUTES]), "notice_id")
+    right = far.join(left.select("key").distinct(), "key", "left_semi").join(stays.dropDuplicates(["line"]).select("line", *[F.col(c).alias(f"s_{c}") for c in ATTRIBUTES]), "line")
+    # a pair counts at the first of its keys
+    met = _tiled(left, right, sizes, "line").where(F.col("key") == F.get(F.filter("keys", lambda k: F.array_contains("via", k)), 0))
+    met = met.withColumn("shared", shared).withColumns({"bits": total, "rarest": F.array_max("shared")}).where(F.col("bits") >= PRUNE * F.col("best"))
+    new = evidence(met, n_stays).where(F.col("own") > FLOOR).select("notice_id", "line", "bits", "rarest").join(cold, ["notice_id", "line"], "left_anti")
+    kept = cold.join(best, "notice_id").where(F.col("bits") >= PRUNE * F.col("best")).drop("best")
+    return kept.unionByName(new)
 
 
 def candidates(notices: DataFrame, stays: DataFrame, n_stays: int) -> DataFrame:
-    """(notice_id, line, bits, rarest) of the candidate graph, pruned. ``n_stays``: how many stays the bits are reckoned against;
-    ``rarest``: the bits of the rarest block shared."""
+    """(notice_id, line, bits, rarest) of the candidate graph, pruned; of hot blocks only what exceeds ``FLOOR``, as ``link`` asks of all.
+    ``n_stays``: how many stays the bits are reckoned against; ``rarest``: the bits of the rarest block shared."""
     n_keys = cut(_keys(notices, "notice_id", ARRIVAL_SLACK))
     wanted = n_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n_notices"))
     # only two numbers of a stay travel here, and only keys that some notice has go on
@@ -209,14 +203,15 @@ def candidates(notices: DataFrame, stays: DataFrame, n_stays: int) -> DataFrame:
     s_keys = cut(s_keys.groupBy("key", "line").agg(F.first("n_notices").alias("n_notices")))
     per = s_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n_stays"), F.first("n_notices").alias("n_notices"))
     total = F.lit(float(max(n_stays, 2)))
-    sizes = cut(per.select("key", ((F.col("n_stays") * F.col("n_notices") > HOT_PAIRS) & (F.least("n_stays", "n_notices") > HOT_SIDE)).alias("hot"), F.log2(total / F.col("n_stays")).alias("bits")))
-    left, right = n_keys.join(sizes, "key"), s_keys.select("key", "line")
+    is_hot = (F.col("n_stays") * F.col("n_notices") > HOT_PAIRS) & (F.least("n_stays", "n_notices") > HOT_SIDE)
+    sizes = cut(per.select("key", is_hot.alias("hot"), F.log2(total / F.col("n_stays")).alias("bits"), "n_notices", "n_stays"))
+    left, right = n_keys.join(sizes.select("key", "hot", "bits"), "key"), s_keys.select("key", "line")
     shared = left.where("NOT hot").join(right, "key").select("notice_id", "line", "bits")
-    hot = sizes.where("hot").select("key")
-    if not hot.isEmpty():
-        more = _refined(left.where("hot").select("notice_id", "key", "bits"), right.join(hot, "key"), notices, stays)
-        shared = shared.unionByName(more.select("notice_id", "line", "bits"))
     edges = shared.groupBy("notice_id", "line").agg(F.sum("bits").alias("bits"), F.max("bits").alias("rarest"))
+    hot = sizes.where("hot").select("key", "n_notices", "n_stays")
+    if not hot.isEmpty():
+        near = cut(left.where("hot").select("notice_id", "key", "bits"))
+        return _with_hot(edges, near, right.join(hot.select("key"), "key"), hot, notices, stays, n_stays)
     best = F.max("bits").over(Window.partitionBy("notice_id"))
     return edges.withColumn("_best", best).where(F.col("bits") >= PRUNE * F.col("_best")).drop("_best")
 
@@ -301,7 +296,7 @@ def link(notices: DataFrame, stays: DataFrame) -> DataFrame:
     left = n.select("notice_id", "n_same", *[F.col(c).alias(f"n_{c}") for c in ATTRIBUTES])
     right = wanted.select("line", "entity", *[F.col(c).alias(f"s_{c}") for c in ATTRIBUTES])
     judged = evidence(pairs.join(left, "notice_id").join(right, "line"), n_stays)
-    edges = cut(judged.select("notice_id", "n_same", "line", "entity", "own"))
+    edges = cut(judged.where(F.col("own") > FLOOR).select("notice_id", "n_same", "line", "entity", "own"))
     final = propagate(edges)
     w = Window.partitionBy("notice_id").orderBy(F.desc("score"), "entity")
     led = final.withColumn("_r", F.row_number().over(w)).withColumn("_next", F.lead("score").over(w))

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -67,6 +68,64 @@ def test_a_crowd_hides_no_link(spark):
     assert set(run(spark, notices, stays)) == wanted
 
 
+def test_a_stay_that_nothing_speaks_against_is_found_in_a_hot_block(spark, monkeypatch):
+    """It agrees with the notice in just what the whole crowd agrees in, but what it doesn't tell contradicts in the others."""
+    monkeypatch.setattr(linkage, "HOT_PAIRS", 4)
+    monkeypatch.setattr(linkage, "HOT_SIDE", 1)
+    stays = [stay(k, f"35210000{k:05d}", nasc=f"19{30 + k}0101", cid="K359") for k in range(1, 7)]
+    notices = [notice(k, birth=f"0{k}/12/1999", cid="S220") for k in range(1, 7)]
+    told = notice(100, birth="20/07/1985", cid="I500")
+    assert run(spark, [*notices[:5], told], [*stays, stay(50, "open", nasc=None, cid=None), stay(51, None, cid="Z380", nasc="19600606"), *FILLER]) == [(k, 50) for k in (1, 2, 3, 4, 5, 100)]
+
+
+def test_every_line_of_a_hot_block_is_a_candidate(spark, monkeypatch):
+    """Also of lines that differ in the last character of the diagnosis only."""
+    monkeypatch.setattr(linkage, "HOT_PAIRS", 4)
+    monkeypatch.setattr(linkage, "HOT_SIDE", 1)
+    stays = [stay(k, "A" if k < 9 else "B", cid=f"I50{k}") for k in range(10)]
+    n = linkage.shape_notices(spark.createDataFrame([notice(k, post=f"0100{k}000", cid="I50") for k in range(1, 4)], N)).cache()
+    s = linkage.shape_stays(spark.createDataFrame([*stays, *FILLER], S)).cache()
+    edges = linkage.candidates(n, s, 310)
+    assert edges.count() == edges.select("notice_id", "line").distinct().count() == 3 * 10
+
+
+def mixed(rnd):
+    """The fields of a row from small pools, with gaps and slips."""
+    some = lambda pool, gap=0.25: None if rnd.random() < gap else rnd.choice(pool)
+    day = some([(5, 3, 70), (3, 5, 70), (6, 3, 70), (20, 11, 48), (2, 11, 84)])
+    return {"day": day, "sex": some("13"), "place": some(["355030", "355031", "330455"]), "post": some(["01001000", "01001100", "20040020"]), "cid": some(["I500", "I509", "K359"]), "tail": some(["00017", "00071", "00400"], 0.5), "arrival": some(["2021-04-10", "2021-04-11", "2021-04-16"], 0.1), "age": some(["51", "52", "73"])}
+
+
+def test_hot_blocks_give_the_same_links_as_others(spark, monkeypatch):
+    rnd = random.Random(6)
+    stays, notices = [], []
+    for i in range(1, 121):
+        f = mixed(rnd)
+        nasc = f["day"] and f"19{f['day'][2]:02d}{f['day'][1]:02d}{f['day'][0]:02d}"
+        stays.append(stay(i, f["tail"] and f"3521{i % 40:04d}{f['tail']}", nasc, f["sex"], f["place"], f["post"], f["cid"], f["arrival"] and f"{f['arrival']} 08:00:00", f["age"]))
+    for i in range(1, 81):
+        f = mixed(rnd)
+        birth = f["day"] and f"{f['day'][0]:02d}/{f['day'][1]:02d}/19{f['day'][2]:02d}"
+        notices.append(notice(i, birth, f["sex"], f["place"], f["age"] and int(f["age"]), f["post"], f["cid"], f["tail"] and f"********{f['tail']}", f["arrival"]))
+    n, s = spark.createDataFrame(notices, N), spark.createDataFrame([*stays, *FILLER], S)
+    shaped = linkage.shape_notices(n).cache(), linkage.shape_stays(s).cache()
+
+    def result(pairs, side, tile):
+        monkeypatch.setattr(linkage, "HOT_PAIRS", pairs)
+        monkeypatch.setattr(linkage, "HOT_SIDE", side)
+        monkeypatch.setattr(linkage, "TILE", tile)
+        links = {(r.notice_id, r.stay_id, round(r.score, 6), r.confidence) for r in linkage.link(n, s).collect()}
+        return links, {(r.notice_id, r.line): (round(r.bits, 6), round(r.rarest, 6)) for r in linkage.candidates(*shaped, 420).collect()}
+
+    links, edges = result(10**9, 10**9, 4096)
+    assert len(links) > 10
+    for pairs, side, tile in ((4, 1, 7), (60, 4, 4096)):
+        got, some = result(pairs, side, tile)
+        assert got == links
+        # only what does not exceed the floor is left out of the edges of hot blocks
+        assert some.items() <= edges.items() and len(some) > len(edges) / 2
+
+
 def test_notices_alike_support_each_other_and_each_get_a_row(spark):
     got = run(spark, [notice(k) for k in range(1, 6)], [stay(1, "3521000000017"), *FILLER])
     assert got == [(k, 1) for k in range(1, 6)]
