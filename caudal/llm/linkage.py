@@ -229,7 +229,11 @@ def evidence(pairs: DataFrame, n_stays: int) -> DataFrame:
             w = w.when(near, worth * close)
         return w.otherwise(differ)
 
-    near_text = lambda c: F.levenshtein(n(c), s(c)) <= F.when(F.sort_array(F.split(n(c), "")) == F.sort_array(F.split(s(c), "")), 2).otherwise(1)
+    def near_text(c: str) -> Column:
+        """One edit apart, or two with the same characters; these are only sorted where that decides."""
+        edits = F.levenshtein(n(c), s(c), 2)
+        return F.when(edits < 0, False).when(edits <= 1, True).otherwise(F.sort_array(F.split(n(c), "")) == F.sort_array(F.split(s(c), "")))
+
     days = F.abs(F.datediff(n("arrival"), s("arrival")))
     swapped = (F.year(n("birth")) == F.year(s("birth"))) & (F.month(n("birth")) == F.dayofmonth(s("birth"))) & (F.dayofmonth(n("birth")) == F.month(s("birth")))
     tail_near = near_text("tail")
